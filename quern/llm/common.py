@@ -45,10 +45,10 @@ def prefix_sums(df: DataFrame, group: str, bucket: str, order: list, value, out:
     """
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(group, bucket).agg(F.sum(value).alias("_total"))
-    offsets = totals.select(group, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    rows = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(offsets, [group, bucket]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    totals = df.groupBy(group, bucket).agg(F.sum(value).alias("_pre_total"))
+    offsets = totals.select(group, bucket, F.coalesce(F.sum("_pre_total").over(before), F.lit(0)).alias("_pre_before"))
+    rows = df.withColumn("_pre_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(offsets, [group, bucket]).withColumn(out, F.col("_pre_before") + F.col("_pre_inside")).drop("_pre_before", "_pre_inside")
 
 
 def spread(spark: SparkSession) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import mixing, near_dup, packing, token_counts
 from .common import table
 
 
@@ -14,5 +14,13 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+def op8_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
+ORACLES = {"op8_source_mixing": mixing.SQL}
