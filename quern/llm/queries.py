@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, token_counts
+from . import mixing, near_dup, packing, secret_scan, token_counts
 from .common import table
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
 ORACLES = {"op8_source_mixing": mixing.SQL}
