@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, secret_scan, token_counts
+from . import mixing, near_dup, packing, quality_classifier, secret_scan, token_counts
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
 ORACLES = {"op8_source_mixing": mixing.SQL}
