@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, quality_classifier, secret_scan, token_counts
+from . import mixing, near_dup, packing, quality_classifier, quality_rules, secret_scan, token_counts
 from .common import table
 
 
@@ -26,9 +26,13 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op9_quality_rules, op10_minhash_near_dedup)}
 ORACLES = {"op8_source_mixing": mixing.SQL}
