@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, quality_classifier, quality_rules, secret_scan, token_counts
+from . import mixing, near_dup, neighbours, packing, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op8_source_mixing, op9_quality_rules, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op6_url_filter, op7_nearest_neighbours, op8_source_mixing, op9_quality_rules, op10_minhash_near_dedup)}
 ORACLES = {"op8_source_mixing": mixing.SQL}
