@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, neighbours, packing, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
+from . import line_dedup, mixing, near_dup, neighbours, packing, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "_lines AS n_lines", "_dropped AS n_dropped", "text")
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op5_token_counts, op6_url_filter, op7_nearest_neighbours, op8_source_mixing, op9_quality_rules, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_best_fit_packing, op4_line_dedup, op5_token_counts, op6_url_filter, op7_nearest_neighbours, op8_source_mixing, op9_quality_rules, op10_minhash_near_dedup)}
 ORACLES = {"op8_source_mixing": mixing.SQL}
