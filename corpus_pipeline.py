@@ -1,10 +1,50 @@
-"""The corpus pipeline: documents to packed sequences, in stages that are written and read again."""
+"""The corpus pipeline: from documents to packed sequences, each stage written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import common, line_dedup, mixing, near_dup, packing, quality_classifier
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality_classifier.accepted(docs, common.table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that recur across documents; a document stays even if no line of it does."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are alike at 0.8 or more."""
+    return near_dup.deduplicated(docs, n=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, in the order of their virtual finish times; a document comes as often as it is taken."""
+    return mixing.schedule(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("source mixing", mix), ("best-fit packing", pack)]
+
+#: Neither the classifier nor the template tree can be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
