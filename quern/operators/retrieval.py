@@ -41,8 +41,12 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k: int, k1: float = 1
     if not words or k <= 0:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     terms = sorted(set(words))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("_t", lambda t: t == word))
+
     split = docs.select(key, tokens(F.col(text)).alias("_t"))
-    counted = split.select(key, F.size("_t").alias("_len"), *(F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, w in enumerate(terms)))
+    counted = split.select(key, F.size("_t").alias("_len"), *(times(w).alias(f"_tf{i}") for i, w in enumerate(terms)))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     hit = counted.filter(" OR ".join(f"_tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
     norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("_len") / F.greatest(F.col("_avg"), F.lit(1.0)))
@@ -81,7 +85,7 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
         return F.when((na < 1e-10) | (nb < 1e-10), 0.0).otherwise(dot(a, b) / (na * nb))
     n = F.least(F.size(a), F.size(b))
     squares = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))
-    return -F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    return F.lit(0.0) - F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
 def vector_top(vectors: DataFrame, key: str, column: str, query: list[float], k: int, metric: str = "cosine", tenant: tuple[str, object] | None = None) -> DataFrame:

@@ -352,7 +352,7 @@ def vector_topk_dot(spark, d):
     return retrieval.vector_top(table(spark, d, "embeddings"), "vec_id", "embedding", probe(spark, d), 20, "dot").withColumn("score", F.round("score", 6))
 
 
-@query(VECTOR.format("-list_distance(CAST(embedding AS DOUBLE[]), v)"))
+@query(VECTOR.format("0 - list_distance(CAST(embedding AS DOUBLE[]), v)"))
 def vector_topk_l2(spark, d):
     return retrieval.vector_top(table(spark, d, "embeddings"), "vec_id", "embedding", probe(spark, d), 20, "l2").withColumn("score", F.round("score", 6))
 
@@ -418,7 +418,7 @@ def memory_decay(spark, d):
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start_5m, count(*) FILTER (event_type = 'error') AS b, count(*) AS a FROM events GROUP BY 1),
-x AS (SELECT start_5m, b AS b5, a AS a5, sum(b) OVER m AS b30, sum(a) OVER m AS a30, sum(b) OVER h AS b1, sum(a) OVER h AS a1, sum(b) OVER s AS b6, sum(a) OVER s AS a6 FROM w WINDOW m AS (PARTITION BY epoch(start_5m) // 1800), h AS (PARTITION BY epoch(start_5m) // 3600), s AS (PARTITION BY epoch(start_5m) // 21600)),
+x AS (SELECT start_5m, b AS b5, a AS a5, sum(b) OVER m AS b30, sum(a) OVER m AS a30, sum(b) OVER h AS b1, sum(a) OVER h AS a1, sum(b) OVER s AS b6, sum(a) OVER s AS a6 FROM w WINDOW m AS (PARTITION BY CAST(epoch(start_5m) AS BIGINT) // 1800), h AS (PARTITION BY CAST(epoch(start_5m) AS BIGINT) // 3600), s AS (PARTITION BY CAST(epoch(start_5m) AS BIGINT) // 21600)),
 y AS (SELECT start_5m, round(b5 / a5 / (1 - 0.95), 6) AS burn_5m, round(b30 / a30 / (1 - 0.95), 6) AS burn_30m, round(b1 / a1 / (1 - 0.95), 6) AS burn_1h, round(b6 / a6 / (1 - 0.95), 6) AS burn_6h, round(1 - least(b6 / a6 / (1 - 0.95), 1.0), 6) AS budget_left FROM x)
 SELECT *, burn_5m > 14.4 AND burn_1h > 14.4 AS page, burn_30m > 6 AND burn_6h > 6 AS ticket FROM y""")
 def slo_burn_rate(spark, d):
@@ -483,10 +483,10 @@ def row_to_json(spark, d):
     return io.row_json(table(spark, d, "nation"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1")
-def cart_top_item(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_type", F.lit(1).cast("long").alias("n"))
-    added = dml.add_up(rows.filter("event_id % 2 = 0") if "event_id" in rows.columns else rows.limit(0), rows, ["user_id", "event_type"], "n")
+@query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE r = 1")
+def cart_merge_top(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", F.lit(1).cast("long").alias("n"))
+    added = dml.add_up(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id", "event_type"], "n")
     return paging.top_per(added, ["user_id"], [F.desc("n"), F.asc("event_type")], 1).drop("rank")
 
 
