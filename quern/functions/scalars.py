@@ -104,15 +104,15 @@ DIGITS = "零壹贰叁肆伍陆柒捌玖"
 
 
 def money_digits(c: Column) -> Column:
-    """The digits of an amount with two decimals, last first, as Chinese numerals; null if it is no plain amount."""
-    whole, part = F.regexp_extract(c, r"^([0-9]+)", 1), F.regexp_extract(c, r"[.]([0-9]*)$", 1)
-    digits = F.split(F.reverse(F.concat(whole, F.substring(F.rpad(part, 2, "0"), 1, 2))), "")
+    """An amount as Chinese numerals: its two decimals, then its whole digits from the last to the first; null if it is no plain amount."""
+    whole, part = F.regexp_extract(c, r"^([0-9]*)", 1), F.regexp_extract(c, r"[.]([0-9]*)$", 1)
+    digits = F.filter(F.split(F.concat(F.rpad(part, 2, "0"), F.reverse(whole)), ""), lambda d: d != "")
     table = F.array(*map(F.lit, DIGITS))
-    return F.when(c.rlike(r"^[0-9]+([.][0-9]*)?$"), F.transform(digits, lambda d: F.element_at(table, d.cast("int") + 1)))
+    return F.when(c.rlike(r"^[0-9]*([.][0-9]*)?$"), F.transform(digits, lambda d: F.element_at(table, d.cast("int") + 1)))
 
 
 #: Formats of timestamps, in the order in which they are tried: fixed values.
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd")
+FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -122,11 +122,16 @@ def parse_timestamp(c: Column) -> Column:
 
 
 #: Letters of PHP date formats and their patterns: fixed values.
-PHP = {"Y": "yyyy", "y": "yy", "m": "MM", "n": "M", "d": "dd", "j": "d", "H": "HH", "G": "H", "h": "hh", "g": "h", "i": "mm", "s": "ss", "A": "a", "D": "EEE", "l": "EEEE", "M": "MMM", "F": "MMMM"}
+PHP = {"Y": "yyyy", "y": "yy", "m": "MM", "n": "M", "d": "dd", "j": "d", "H": "HH", "G": "H", "i": "mm", "s": "ss", "a": "a", "A": "a"}
 
 
 def date_pattern(php: str) -> str:
-    return "".join(PHP.get(c) or (f"'{c}'" if c.isalpha() else c) for c in php)
+    """A backslash takes the next letter as it is."""
+    out, letters = "", iter(php)
+    for c in letters:
+        plain = next(letters, "") if c == "\\" else c
+        out += PHP[c] if c in PHP else f"'{plain}'" if plain.isalpha() else plain
+    return out
 
 
 def query_params(c: Column) -> Column:

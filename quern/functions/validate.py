@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from .scalars import is_numeric, loose_compare, loose_equal, number, parse_timestamp
 
 #: Patterns of rules: fixed values.
+CHINESE = r"\x{4e00}-\x{9fa5}\x{9fa6}-\x{9fef}\x{3400}-\x{4db5}\x{20000}-\x{2ebe0}"
 PATTERNS = {
     "alpha": r"^[A-Za-z]+$",
     "alphaNum": r"^[A-Za-z0-9]+$",
-    "alphaDash": r"^[A-Za-z0-9_-]+$",
-    "chs": r"^[\u4e00-\u9fa5]+$",
-    "chsAlpha": r"^[\u4e00-\u9fa5A-Za-z]+$",
-    "chsAlphaNum": r"^[\u4e00-\u9fa5A-Za-z0-9]+$",
-    "chsDash": r"^[\u4e00-\u9fa5A-Za-z0-9_-]+$",
-    "mobile": r"^1[3-9][0-9]{9}$",
-    "idCard": r"^([0-9]{15}|[0-9]{17}[0-9Xx])$",
-    "zip": r"[0-9]{6}",
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
-    "url": r"^(http|https|ftp)://",
-    "macAddr": r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$",
+    "alphaDash": r"^[A-Za-z0-9\-_]+$",
+    "chs": f"^[{CHINESE}]+$",
+    "chsAlpha": f"^[{CHINESE}a-zA-Z]+$",
+    "chsAlphaNum": f"^[{CHINESE}a-zA-Z0-9]+$",
+    "chsDash": rf"^[{CHINESE}a-zA-Z0-9_\-]+$",
+    "mobile": r"^1[3-9]\d{9}$",
+    "idCard": r"(^[1-9]\d{5}(18|19|([23]\d))\d{2}((0[1-9])|(10|11|12))(([0-2][1-9])|10|20|30|31)\d{3}[0-9Xx]$)|(^[1-9]\d{5}\d{2}((0[1-9])|(10|11|12))(([0-2][1-9])|10|20|30|31)\d{3}$)",
+    "zip": r"\d{6}",
+    "email": r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$",
+    "url": r"^(http://|https://|ftp://|ftps://|mailto:|tel:|file://)",
+    "macAddr": r"^([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})$",
     "integer": r"^[+-]?[0-9]+$",
-    "float": r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$",
     "ipv4": r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$",
     "ipv6": r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?::(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?)$",
 }
@@ -47,12 +47,12 @@ def parse_rules(text: str) -> list[tuple[str, list[str]]]:
 
 def is_kind(v: Column, kind: str) -> Column:
     if kind == "accepted":
-        return v.isin("yes", "on", "1", "true")
+        return v.isin("yes", "on", "1")
     if kind == "date":
         return parse_timestamp(v).isNotNull()
     if kind in ("boolean", "bool"):
         return v.isin("true", "false", "1", "0")
-    if kind == "number":
+    if kind in ("number", "float"):
         return is_numeric(v)
     if kind == "array":
         return v.rlike(r"^\s*\[")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 
 #: Redaction patterns in their order, and what they leave: fixed values.
 REDACTIONS = (
-    (r"sk-[A-Za-z0-9]{20,}", "***REDACTED***"),
-    (r"""(?i)(password|passwd|pwd)\s*[:=]\s*["']?[^\s"']+""", "***REDACTED***"),
-    (r"""(?i)(secret|token|api_key|apikey)\s*[:=]\s*["']?[^\s"']+""", "***REDACTED***"),
-    (r"-----BEGIN [A-Z ]+-----", "***REDACTED***"),
-    (r"AKIA[0-9A-Z]{16}", "***REDACTED***"),
-    (r"(?i)bearer\s+[A-Za-z0-9._-]+", "***REDACTED***"),
-    (r"(mysql|postgres|postgresql|redis|mongodb)://[^\s]+", "***REDACTED***"),
+    (r"""(?i)(api[_-]?key|apikey)\s*[:=]\s*["'][A-Za-z0-9_\-]{16,}["']""", "***REDACTED***"),
+    (r"""(?i)(secret|password|passwd|pwd)\s*[:=]\s*["'][^"']{4,}["']""", "***REDACTED***"),
+    (r"""(?i)(token|access[_-]?token)\s*[:=]\s*["'][A-Za-z0-9_\-\.]{16,}["']""", "***REDACTED***"),
+    (r"-----BEGIN [A-Z ]+PRIVATE KEY-----[\s\S]*?-----END [A-Z ]+PRIVATE KEY-----", "***REDACTED***"),
+    (r"""(?i)(aws[_-]?secret[_-]?access[_-]?key)\s*[:=]\s*["'][A-Za-z0-9/+=]{40}["']""", "***REDACTED***"),
+    (r"(?i)(bearer)\s+[A-Za-z0-9_\-\.]{20,}", "***REDACTED***"),
+    (r"(?i)(mongodb|postgres|mysql|redis)://[^:\s]+:[^@\s]+@", "***REDACTED***"),
 )
 
 
@@ -80,31 +79,47 @@ def valid_sources(rules: DataFrame, files: DataFrame, path: str = "path", first:
     return rules.join(files, path, "left").withColumn("valid", F.coalesce(ok, F.lit(False))).drop("lines")
 
 
-#: Line starts that begin a symbol, and its kind: fixed values.
-SYMBOLS = ((r"^\s*(pub\s+)?(async\s+)?fn\s", "Function"), (r"^\s*(pub\s+)?struct\s", "Struct"), (r"^\s*(pub\s+)?enum\s", "Enum"), (r"^\s*(pub\s+)?trait\s", "Trait"), (r"^\s*impl\b", "Impl"), (r"^\s*(pub\s+)?mod\s", "Module"), (r"^\s*<(h[1-6]|p|div|table|ul|ol)\b", "Block"), (r"^\s*(def|class)\s", "Definition"))
+#: What the first words of a line, after blanks, say about the symbol that it begins: fixed values.
+SYMBOLS = {
+    "Function": ("fn ", "pub fn ", "async fn ", "pub async fn ", "pub(crate) fn "),
+    "Struct": ("struct ", "pub struct ", "pub(crate) struct "),
+    "Trait": ("trait ", "pub trait "),
+    "Mod": ("mod ", "pub mod "),
+    "Impl": ("impl ", "impl<"),
+    "Enum": ("enum ", "pub enum "),
+    "Const": ("const ", "pub const "),
+    "Static": ("static ", "pub static "),
+}
 
 
-def chunk_text(text: str, most: int) -> Iterator[tuple[int, int, str, str]]:
-    """First line, last line, symbol and text of each chunk: a new one at each symbol and when most bytes are full; blank ones are dropped."""
+def symbol_of(line: str) -> str | None:
+    return next((kind for kind, starts in SYMBOLS.items() if line.lstrip().startswith(starts)), None)
+
+
+def chunk_text(text: str | None, most: int) -> Iterator[tuple[int, int, str, str]]:
+    """First line, last line, symbol and text of each chunk; blank ones are dropped.
+
+    A chunk ends before each line that begins a symbol, and after the line with which it has most bytes or more (at
+    least 200); what follows such a full one has no symbol. Lines count from 1, but a text that doesn't begin with a
+    symbol has its first chunk at 0.
+    """
     most = max(most, 200)
-    held, start, symbol, size = [], 0, "Other", 0
-    for k, line in enumerate((text or "").split("\n")):
-        kind = next((n for p, n in SYMBOLS if re.search(p, line)), None)
-        if kind and held:
-            if "".join(held).strip():
-                yield start, k, symbol, "\n".join(held)
-            held, size = [], 0
-        if not held:
-            start = k + 1 if kind or k else 0
-            symbol = kind or "Other"
-        held.append(line)
-        size += len(line.encode()) + 1
+    every = (text or "").split("\n")
+    every = [x.removesuffix("\r") for x in (every[:-1] if every[-1] == "" else every)]
+    cuts = [(0, 0, "Other")]  # before which line, the first line's number, the symbol
+    size = 0
+    for k, line in enumerate(every):
+        if kind := symbol_of(line):
+            cuts.append((k, k + 1, kind))
+            size = 0
+        size += len(line.encode("utf-8", "surrogatepass")) + 1
         if size >= most:
-            if "".join(held).strip():
-                yield start, k + 1, symbol, "\n".join(held)
-            held, size = [], 0
-    if "".join(held).strip():
-        yield start, start + len(held) - (1 if start else 0), symbol, "\n".join(held)
+            cuts.append((k + 1, k + 2, "Other"))
+            size = 0
+    for (at, first, kind), (end, _, _) in zip(cuts, [*cuts[1:], (len(every), 0, "")], strict=True):
+        body = "".join(f"{x}\n" for x in every[at:end])
+        if body.strip():
+            yield first, end, kind, body
 
 
 def chunks(docs: DataFrame, key: str, text: str, most: int = 1500) -> DataFrame:

@@ -89,4 +89,4 @@ def sampled(df: DataFrame, always: Column, rate: float, seed: int = 7) -> DataFr
 
 
 def event_class(status: Column) -> Column:
-    return F.when(status == 401, "unauthorized").when(status == 403, "forbidden").when(status == 413, "payload_too_large").otherwise("other")
+    return F.when(status == 401, "AuthFailure").when(status == 403, "AccessDenied").when(status == 413, "BodyTooLarge").otherwise("HttpRequest")
