@@ -107,8 +107,8 @@ def with_hooks(kind: str, df: DataFrame, write: Callable[[DataFrame], DataFrame]
 
 def allowed(df: DataFrame, old: str, new: str, transitions: dict[str, list[str]]) -> DataFrame:
     """df with allowed: whether the step from old to new is one of the transitions."""
-    pairs = [F.struct(F.lit(a), F.lit(b)) for a, bs in transitions.items() for b in bs]
-    return df.withColumn("allowed", F.array_contains(F.array(*pairs), F.struct(F.col(old), F.col(new))) if pairs else F.lit(False))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, bs in transitions.items() for b in bs]
+    return df.withColumn("allowed", F.array_contains(F.array(*pairs), F.struct(F.col(old).alias("a"), F.col(new).alias("b"))) if pairs else F.lit(False))
 
 
 def next_batch(history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import scalars, validate
-from .operators import aggregates, dml, knowledge, reconcile, retrieval
+from .operators import aggregates, dml, knowledge, reconcile, registry, retrieval
 from .plans import expressions, paging, predicates, relations, scope
 from .plans.predicates import Where
 from .sources import io
@@ -500,3 +500,47 @@ def update_and_delete(spark, d):
 def insert_deduplicated(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
     return dml.insert_deduplicated(rows.filter("event_id < 500"), rows.filter("event_id >= 500"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT event_type, round(coalesce(s.v, 0) + coalesce(sum(CASE WHEN s.id IS NULL OR event_id > s.id THEN CASE event_id % 10 WHEN 1 THEN -value WHEN 0 THEN NULL ELSE value END END), 0), 2) AS value FROM events LEFT JOIN (SELECT event_type AS t, max(event_id) AS id, arg_max(value, event_id) AS v FROM events WHERE event_id % 10 = 0 GROUP BY 1) s ON s.t = event_type GROUP BY event_type, s.v")
+def gauge_values(spark, d):
+    kind = F.when(F.col("event_id") % 10 == 0, "set").when(F.col("event_id") % 10 == 1, "dec").otherwise("inc")
+    rows = table(spark, d, "events").select("event_type", kind.alias("kind"), "value", "event_id")
+    return registry.counters(rows, ["event_type"], "kind", "value", "event_id").withColumn("value", F.round("value", 2))
+
+
+@query("SELECT event_id, map_extract_value(MAP {'k': '1', 'id': event_type}, 'id') AS id, CAST(value AS VARCHAR) AS value FROM events WHERE event_id < 100")
+def merged_context(spark, d):
+    context = F.create_map(F.lit("k"), F.lit("1"), F.lit("id"), F.col("event_type"))
+    extra = F.create_map(F.lit("id"), F.lit("forged"), F.lit("value"), F.col("value").cast("string"))
+    merged = registry.merged_context(context, extra, ["id"])
+    return table(spark, d, "events").filter("event_id < 100").select("event_id", merged["id"].alias("id"), merged["value"].alias("value"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT user_id, event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000)) WHERE n = 1")
+def capped_first_seen(spark, d):
+    return knowledge.first_seen(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], [F.desc("event_id")], 1000)
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS events FROM events GROUP BY user_id")
+def grouped_in_order(spark, d):
+    out = aggregates.grouped_in_order(table(spark, d, "events"), ["user_id"], "event_id", "event_type", "events")
+    return out.select("user_id", F.array_join("events", ",").alias("events"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) AS total FROM orders")
+def outcome_counts(spark, d):
+    return registry.outcomes(table(spark, d, "orders"), "o_orderstatus", ["O", "F"])
+
+
+@query("SELECT '# TYPE events counter' AS line UNION ALL SELECT 'events{type=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type")
+def metric_text(spark, d):
+    counted = table(spark, d, "events").groupBy(F.col("event_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return io.metric_text(counted, "events", "counter", "n", ["type"])
+
+
+@query("SELECT o_orderkey, (o_orderstatus, o_next) IN (('O', 'P'), ('P', 'F')) AS allowed FROM (SELECT o_orderkey, o_orderstatus, CASE o_orderkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'F' ELSE 'O' END AS o_next FROM orders)")
+def allowed_transitions(spark, d):
+    after = F.when(F.col("o_orderkey") % 3 == 0, "P").when(F.col("o_orderkey") % 3 == 1, "F").otherwise("O")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", after.alias("next"))
+    return dml.allowed(rows, "o_orderstatus", "next", {"O": ["P"], "P": ["F"]}).select("o_orderkey", "allowed")
