@@ -163,3 +163,35 @@ def masked(c: Column, kind: str) -> Column:
     """A sensitive value of a kind (string, int, float, bool) blotted out; null stays."""
     blank = {"string": F.lit("***"), "int": F.lit(0), "float": F.lit(0.0), "bool": F.lit(False)}[kind]
     return F.when(c.isNotNull(), blank)
+
+
+def masked_deep(c: Column, kind, names: set[str], keep: set[str] = frozenset(), hit: bool = False) -> Column:
+    """c of the Spark type kind with the sensitive fields among names blotted out at every depth; the fields of keep never are."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StructType):
+        inner = (masked_deep(c[f.name], f.dataType, names, keep, (hit or f.name in names) and f.name not in keep).alias(f.name) for f in kind.fields)
+        return F.when(c.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: masked_deep(x, kind.elementType, names, keep, hit))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: F.when(k.isin(*names), masked_deep(v, kind.valueType, names, keep, True)).otherwise(masked_deep(v, kind.valueType, names, keep, hit)))
+    if not hit:
+        return c
+    if isinstance(kind, T.StringType):
+        return masked(c, "string")
+    if isinstance(kind, T.BooleanType):
+        return masked(c, "bool")
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return masked(c, "float").cast(kind)
+    return masked(c, "int").cast(kind) if isinstance(kind, T.IntegralType) else F.lit(None).cast(kind)
+
+
+def masked_map(c: Column, names: set[str]) -> Column:
+    """A map of headers or audit fields with the values of sensitive keys, in any case, blotted out."""
+    return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(*(n.lower() for n in names)), F.lit("***")).otherwise(v))
+
+
+def bound_text(c: Column) -> Column:
+    """A histogram bound as text."""
+    return F.when(c == float("inf"), "+Inf").otherwise(c.cast("string"))

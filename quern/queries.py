@@ -544,3 +544,70 @@ def allowed_transitions(spark, d):
     after = F.when(F.col("o_orderkey") % 3 == 0, "P").when(F.col("o_orderkey") % 3 == 1, "F").otherwise("O")
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", after.alias("next"))
     return dml.allowed(rows, "o_orderstatus", "next", {"O": ["P"], "P": ["F"]}).select("o_orderkey", "allowed")
+
+
+@query("SELECT l_orderkey, round(sum(greatest(l_extendedprice - 20000, 0)), 2) AS total FROM lineitem GROUP BY l_orderkey")
+def clamped_totals(spark, d):
+    value = F.greatest(F.col("l_extendedprice") - 20000, F.lit(0.0))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(value), 2).alias("total"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'ip:10.0.0.' || user_id ELSE 'user:' || user_id END AS by_user, 'ip:' || CASE WHEN user_id % 2 = 0 THEN '1.1.1.' || user_id ELSE '10.0.0.' || user_id END || ':' || event_type AS by_route FROM events""")
+def limiter_keys(spark, d):
+    rows = table(spark, d, "events")
+    ip = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
+    forwarded = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("1.1.1."), F.col("user_id").cast("string"), F.lit(", 9.9.9.9")))
+    user = F.when(F.col("user_id") % 3 != 0, F.col("user_id"))
+    return rows.select("event_id", ev.limiter_key(user, ip, F.col("event_type"), "user").alias("by_user"), ev.limiter_key(user, ip, F.col("event_type"), "ip_route", forwarded, True).alias("by_route"))
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 2")
+def version_history(spark, d):
+    return paging.top_per(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], [F.desc("event_id")], 2)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer""")
+def optimistic_update(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.lit(1).alias("version"), "c_name")
+    changes = rows.filter("c_custkey % 3 = 0 OR c_custkey % 7 = 1").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(9).alias("version"), F.lit("new").alias("c_name"))
+    return dml.update_if_version(rows, changes, "c_custkey", "version")
+
+
+@query("""WITH c AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 4 <> 0) AS free, count(*) AS n FROM supplier GROUP BY 1)
+SELECT n_nationkey, CASE WHEN c.n IS NULL THEN 'unmatched' WHEN free IS NULL THEN 'claimed' WHEN len(free) = 1 THEN 'single' ELSE 'several' END AS outcome, coalesce(array_to_string(free, ','), '') AS free FROM nation LEFT JOIN c ON k = n_nationkey""")
+def reconciliation_check(spark, d):
+    candidates = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.when(F.col("s_suppkey") % 4 == 0, "other").alias("owner"), "s_suppkey")
+    out = reconcile.checked(table(spark, d, "nation").select("n_nationkey", F.lit("me").alias("me")), candidates, ["n_nationkey"], "owner", "me", "s_suppkey")
+    return out.select("n_nationkey", "outcome", F.array_join("free", ",").alias("free"))
+
+
+@query("""WITH a AS (SELECT s_nationkey AS g, s_suppkey AS a, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+b AS (SELECT c_nationkey AS g, c_custkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey < 110) SELECT a.g AS g, a, b FROM a JOIN b ON a.g = b.g AND a.r = b.r AND a.n = b.n""")
+def leftover_pairs(spark, d):
+    left = table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("a"))
+    right = table(spark, d, "customer").filter("c_custkey < 110").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("b"))
+    return reconcile.pair_up(left, right, ["g"], "a", "b").select("g", "a", "b")
+
+
+@query("SELECT (SELECT count(*) FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)) / (SELECT count(*) FROM labels WHERE quality = 1) AS recall")
+def recall_at_k(spark, d):
+    found = table(spark, d, "documents").filter("n_chars > 1000").select("doc_id")
+    return retrieval.recall(found, table(spark, d, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 64 AS BIGINT) AS batch FROM part")
+def embedding_batches(spark, d):
+    return retrieval.batches(table(spark, d, "part").select("p_partkey"), "p_partkey", 64)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'error' END AS e FROM nation WHERE n_nationkey IN (0, 1, 2, 3)")
+def expired_events(spark, d):
+    rows = table(spark, d, "nation").filter("n_nationkey < 4").select("n_nationkey", (3 - F.col("n_nationkey")).alias("retry_count"))
+    return rows.join(ev.exhausted(rows, most=1).select("n_nationkey", F.lit("error").alias("e")), "n_nationkey", "left").select("n_nationkey", "e")
+
+
+@query("""SELECT c_custkey, '***' AS name, 0 AS nation, c_mktsegment AS segment FROM customer""")
+def mask_nested(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("private"), F.col("c_mktsegment").alias("segment")).alias("r"))
+    hidden = rows.select("c_custkey", scalars.masked_deep(F.col("r"), rows.schema["r"].dataType, {"private"}).alias("r"))
+    return hidden.select("c_custkey", "r.private.name", "r.private.nation", "r.segment")

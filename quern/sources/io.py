@@ -118,3 +118,16 @@ def run_script(spark: SparkSession, text: str) -> int:
     for s in statements:
         spark.sql(s)
     return len(statements)
+
+
+def write_sheet(df: DataFrame, path: str, sheet: str = "Sheet1", start: str = "A1") -> None:
+    """Typed cells from a start cell on, the header first; needs openpyxl. One file is written by the driver, so for exports of a page's size."""
+    if importlib.util.find_spec("openpyxl") is None:
+        raise RuntimeError("writing spreadsheets needs openpyxl")
+    row, column = cell_place(start)
+    df.toPandas().to_excel(path, sheet_name=sheet, startrow=row, startcol=column, index=False)
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what is there: files are written aside and committed together."""
+    df.write.mode("overwrite").json(path)

@@ -59,3 +59,27 @@ def conforms(value: dict, schema: dict) -> list[str]:
             if kind in kinds and (not isinstance(v, kinds[kind]) or isinstance(v, bool) and kind in ("integer", "number")):
                 wrong.append(f"{name} is not of type {kind}")
     return wrong
+
+
+def project(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Explicit columns only: no wildcard, and not none."""
+    if not columns or "*" in columns:
+        raise ValueError("name the columns")
+    return df.select(*map(identifier, columns))
+
+
+def exists(df: DataFrame, condition) -> bool:
+    """Whether any row meets the condition; reads one row at most."""
+    return not df.filter(condition).limit(1).isEmpty()
+
+
+def check_sql(spark: SparkSession, text: str, **args) -> dict:
+    """Parses and analyses a statement without running it: an error text, or its plan's joins, aggregates, sorts and a score of these."""
+    from pyspark.errors import PySparkException
+
+    try:
+        plan = spark.sql(text, args=args)._jdf.queryExecution().optimizedPlan().toString()
+    except PySparkException as e:
+        return {"error": str(e).splitlines()[0], "score": None}
+    counts = {name: len(re.findall(rf"\b{name}\b", plan)) for name in ("Join", "Aggregate", "Sort", "Window", "Generate")}
+    return {"error": None, **counts, "score": 1 + 5 * counts["Join"] + 3 * counts["Window"] + 2 * (counts["Aggregate"] + counts["Sort"] + counts["Generate"])}
