@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,15 @@ def iterate(frontier: DataFrame, step) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(frontier.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
     frontier = frontier.distinct().checkpoint()
-    reached = frontier
+    settled = [frontier]
     while True:
-        new = step(frontier).distinct().join(reached, reached.columns, "left_anti").checkpoint()
-        if new.isEmpty():
+        if len(settled) > 10:  # a long union is written as one
+            settled = [reduce(DataFrame.unionByName, settled).checkpoint()]
+        reached = reduce(DataFrame.unionByName, settled)
+        frontier = step(frontier).distinct().join(reached, reached.columns, "left_anti").checkpoint()
+        if frontier.isEmpty():
             return reached
-        reached, frontier = reached.unionByName(new).checkpoint(), new
+        settled.append(frontier)
 
 
 def closure(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
