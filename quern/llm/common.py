@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,12 +60,43 @@ def spread(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of whole texts that go to Python at once, on either side, where the session has left Spark's default.
+ARROW_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in batches of ARROW_ROWS: Spark's default of 10,000 is meant for narrow rows, and its buffers stay with the executor."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+#: What each operator keeps in a Python worker: its name and how to let go of it.
+_kept: list[tuple[str, Callable[[], None]]] = []
+_owner: list[str] = []
+
+
+def keep(owner: str, clear: Callable[[], None]) -> None:
+    _kept.append((owner, clear))
+
+
+def take_over(owner: str) -> None:
+    """Before an operator works in a Python worker: lets go of what others keep there, as workers serve all of them in turn."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for other, clear in _kept:
+            if other != owner:
+                clear()
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and starts anew when full, so that its memory is bounded."""
 
-    def __init__(self, compute, limit: int = 500_000, longest: int = 64):
+    def __init__(self, owner: str, compute, limit: int = 300_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
+        keep(owner, self.clear)
 
     def __missing__(self, key):
         value = self.compute(key)

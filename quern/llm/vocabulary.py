@@ -14,7 +14,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import Memo
+from .common import Memo, keep
 
 #: Unicode's White_Space: fixed values.
 SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -23,7 +23,7 @@ SPLIT = regex.compile(f"[{SPACE}]+")
 ALIKE = ((0x0, 0x557), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x1F300, 0x1F5FF))
 UNSURE = regex.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if a else "\\x00-" + chr(b) for a, b in ALIKE) + "]")
 #: What str.split() also takes for white space, but Unicode's property does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def default_path() -> str:
@@ -64,14 +64,19 @@ class Words:
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("\u03a3", "\u03c3")  # lower() has a rule for a sigma that ends a word
         text = text.lower()
-        if SEPARATORS.search(text):
+        if any(c in text for c in SEPARATORS):
             return [c for c in SPLIT.split(text) if c]
         return text.split()
 
     def pretokens(self, chunk: str) -> list[str]:
         """What the chunk is encoded as, one by one, in byte letters."""
-        if chunk.isascii() and chunk.isprintable():
-            return self.pretoken.findall(chunk)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+            if chunk.isprintable():
+                return self.pretoken.findall(chunk)
         if UNSURE.search(chunk):
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return [p.encode().decode("latin1").translate(self.translated) for p in self.pretoken.findall(chunk)]
@@ -87,8 +92,8 @@ class Counter(Words):
         for rank, merge in enumerate(self.spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.of_pretoken = Memo(self.count_pretoken)
-        self.of_chunk = Memo(lambda chunk: sum(map(self.of_pretoken.__getitem__, self.pretokens(chunk))))
+        self.of_pretoken = Memo("tokens", self.count_pretoken)
+        self.of_chunk = Memo("tokens", lambda chunk: sum(map(self.of_pretoken.__getitem__, self.pretokens(chunk))))
 
     def count_pretoken(self, pretoken: str) -> int:
         symbols = [self.symbol[c][0] for c in pretoken]
@@ -128,11 +133,14 @@ class Counter(Words):
 
 
 class Encoder(Words):
-    """Token ids by the library, as little-endian unsigned 32-bit bytes; each distinct pre-token is encoded once."""
+    """Token ids by the library, as little-endian unsigned 32-bit bytes; each distinct pre-token is encoded once.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    At most twice so many chunks and so many pre-tokens are kept: of chunks, the older half goes when the newer is full.
+    """
+
+    def __init__(self, path: str, chunks: int = 250_000, pretokens: int = 600_000):
         super().__init__(path)
-        self.limit = limit
+        self.most = chunks, pretokens
         #: The library's model alone, for pre-tokens that are normalised already.
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -141,16 +149,26 @@ class Encoder(Words):
             self.ends[k] = token.endswith(self.end)
         self.of_pretoken: dict[str, bytes] = {}
         self.of_chunk: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        keep("tokens", self.forget)
+
+    def forget(self) -> None:
+        self.of_pretoken, self.of_chunk, self.older = {}, {}, {}
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that are new, all at once."""
         new = [c for c in chunks if c not in self.of_chunk]
-        if len(self.of_chunk) + len(new) > self.limit:
-            self.of_chunk.clear()
-            self.of_pretoken.clear()
+        if len(self.of_chunk) + len(new) > self.most[0]:
+            self.older, self.of_chunk = self.of_chunk, {}
             new = list(chunks)
+        old = self.older.get
+        self.of_chunk.update((c, b) for c in new if (b := old(c)) is not None)
+        new = [c for c in new if c not in self.of_chunk]
         split = [self.pretokens(c) for c in new]
-        lacking = list({p for ps in split for p in ps} - self.of_pretoken.keys())
+        lacking = [p for p in {p for ps in split for p in ps} if p not in self.of_pretoken]
+        if len(self.of_pretoken) + len(lacking) > self.most[1]:
+            self.of_pretoken.clear()
+            lacking = list({p for ps in split for p in ps})
         for k in range(0, len(lacking), 4096):
             some = lacking[k : k + 4096]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
