@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, join_checked
+from .common import Memo, cut, join_checked, map_arrow, take_over
 
 SLICE = 512
 #: Leading tokens on the way to a leaf; lines of fewer than SHORT tokens recur in any prose and are left alone.
@@ -33,7 +33,7 @@ DIGIT = re.compile(rb"\d")
 @functools.cache
 def token_hashes() -> Memo:
     """Hashes of tokens; all that hold a digit are the same field."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
+    return Memo("lines", lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
 
 
 def parsed(text: str | None) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -69,6 +69,7 @@ def lines(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("lines")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
@@ -82,7 +83,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch, new))], names=schema.names)
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text").mapInArrow(each, schema)
+    return map_arrow(docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text"), each, schema)
 
 
 def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -90,6 +91,7 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_leaf", "_deep", "_line")), T.StructField("_raw", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("lines")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 seen = {}
@@ -98,7 +100,7 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                         seen[h] = (leaf, deep, raw)
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[2] for v in seen.values()], pa.binary())], names=schema.names)
 
-    every = docs.select("text").mapInArrow(each, schema)
+    every = map_arrow(docs.select("text"), each, schema)
     return join_checked(every, leaves, "_leaf", "left_semi", BROADCAST).groupBy("_leaf", "_deep", "_line").agg(F.min("_raw").alias("_raw"))
 
 
@@ -142,6 +144,7 @@ def templates(different: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("_line", T.LongType()), T.StructField("_template", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("lines")
         leaf, key = Leaf(), None
         for batch in batches:
             line, template = [], []
@@ -154,7 +157,7 @@ def templates(different: DataFrame) -> DataFrame:
 
     sizes = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n"))
     keyed = different.join(sizes, "_leaf").withColumn("_key", F.when(F.col("_n") > LEAF, F.col("_deep")).otherwise(F.col("_leaf")))
-    return keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line").mapInArrow(each, schema)
+    return map_arrow(keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line"), each, schema)
 
 
 def repeated(docs: DataFrame) -> DataFrame:

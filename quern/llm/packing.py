@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prefix_sums, spread
+from .common import cut, map_arrow, prefix_sums, spread, take_over
 from .vocabulary import default_path, encoder
 
 SLICE = 512
@@ -22,6 +22,7 @@ def pieces(docs: DataFrame, limit: int, path: str, end: int = 0, text: str = "te
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("tokens")
         of, last, step = encoder(path), int(end).to_bytes(4, "little"), limit * 4
         for whole in batches:
             for first in range(0, whole.num_rows, SLICE):
@@ -34,7 +35,7 @@ def pieces(docs: DataFrame, limit: int, path: str, end: int = 0, text: str = "te
                         row.append(k), piece.append(n), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=schema.names)
 
-    return docs.select("doc_id", text).mapInArrow(encode, schema)
+    return map_arrow(docs.select("doc_id", text), encode, schema)
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo
+from .common import Memo, map_arrow, take_over
 
 SLICE = 512
 #: Features are hashed to 2 ** BITS weights.
@@ -36,7 +36,7 @@ def hashed_parts(word: bytes) -> bytes:
 
 @functools.cache
 def memo() -> Memo:
-    return Memo(hashed_parts)
+    return Memo("quality", hashed_parts)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +95,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("values", T.BinaryType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality")
         for batch in batches:
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], names=schema.names)
 
-    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema).collect()
+    rows = map_arrow(found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label"), make, schema).collect()
     rows.sort(key=lambda r: (zlib.crc32(f"order {r.id}".encode()), r.id))
-    return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4").astype(float), r["label"]) for r in rows])
+    return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4"), r["label"]) for r in rows])
 
 
 def scored(batch: pa.RecordBatch, text: int, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -119,12 +120,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(batch, 1, weights, bias))], names=schema.names)
 
-    out = docs.select("doc_id", "text").mapInArrow(score, schema)
+    out = map_arrow(docs.select("doc_id", "text"), score, schema)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -134,9 +136,10 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 yield batch.filter(pa.array(scored(batch, text, weights, bias) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)

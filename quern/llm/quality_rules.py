@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo
+from .common import Memo, map_arrow, take_over
 
 SLICE = 512
 SYMBOLS = "#*$%&|<>"
@@ -62,7 +62,7 @@ class Pieces:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.library.is_byte(k) for k in range(self.library.get_piece_size())])
-        self.of_word = Memo(lambda w: np.array(self.library.encode(w.decode("utf-8", "replace")), "<u4").tobytes())
+        self.of_word = Memo("rules", lambda w: np.array(self.library.encode(w.decode("utf-8", "replace")), "<u4").tobytes())
 
 
 @functools.cache
@@ -72,7 +72,7 @@ def pieces(path: str) -> Pieces:
 
 @functools.cache
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo("rules", xxhash.xxh3_64_intdigest)
 
 
 def script(text: str) -> str:
@@ -149,6 +149,7 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] | None = None, path: s
     columns = ["doc_id", "text", *(["lang"] if "lang" in docs.columns else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("rules")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
@@ -157,4 +158,4 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] | None = None, path: s
                     rows = [judge(t, x, bands, path) for t, x in zip(batch.column(1).to_pylist(), langs, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True))], names=schema.names)
 
-    return docs.select(*columns).mapInArrow(each, schema)
+    return map_arrow(docs.select(*columns), each, schema)
