@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, join_checked, small
+from .common import Memo, cut, join_checked, map_arrow, small, take_over
 
 SLICE = 512
 #: Coordinates of a signature, and how many of them two documents must share to be compared: at the similarity 0.8,
 #: fewer are shared with a probability of 4e-6.
 COORDINATES, MATCHES = 64, 36
 #: Members of a list that are held at once, and rows that are broadcast.
-BLOCK, BROADCAST = 2048, 200_000
+BLOCK, BROADCAST = 1024, 200_000
+#: Columns of shingles that are multiplied at once, and pairs up to which each is intersected on its own.
+COLUMNS, SINGLY = 2048, 2000
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo("shingles", xxhash.xxh3_64_intdigest)
 
 
 @functools.cache
@@ -69,6 +71,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("_set", T.BinaryType()), T.StructField("_sig", T.ArrayType(T.IntegerType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
@@ -78,7 +81,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(sigs) + 1, COORDINATES, dtype=np.int32), pa.array(sigs, pa.int32()))], names=schema.names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    return map_arrow(docs.select("doc_id", "text"), sign, schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -86,6 +89,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     schema = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("_hashes", T.ArrayType(T.LongType()))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles")
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
@@ -93,7 +97,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["_id", "_hashes"])
 
-    return join_checked(docs.select(F.col("doc_id").alias("_id"), "text"), ids, "_id", "left_semi", BROADCAST).mapInArrow(make, schema)
+    return map_arrow(join_checked(docs.select(F.col("doc_id").alias("_id"), "text"), ids, "_id", "left_semi", BROADCAST), make, schema)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -150,37 +154,89 @@ def alike(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> D
     return both.filter((same >= matches) & (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))).select("_a", "_b").distinct()
 
 
-def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs _a, _b of one list that no way links yet and whose signatures collide in at least matches coordinates.
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets a and b, pair by pair; many pairs come from products of incidence matrices."""
+    if len(a) <= SINGLY:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    _, columns, counts = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    shared = counts[columns] > 1
+    rows, columns = rows[shared], np.unique(columns[shared], return_inverse=True)[1]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    total = np.zeros((len(used), len(used)), np.float32)  # exact: sums of ones below 2 ** 24
+    edges = np.searchsorted(columns, np.arange(0, columns[-1] + 1 + COLUMNS, COLUMNS)) if len(columns) else [0]
+    for low, high in zip(edges, edges[1:], strict=False):
+        block = np.zeros((len(used), COLUMNS), np.float32)
+        block[rows[low:high], columns[low:high] % COLUMNS] = 1
+        total += block @ block.T
+    return total[at[: len(a)], at[len(a) :]].astype(np.int64)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links a, b among n members: a parent and its children, again and again."""
+    near = np.zeros((n, n), bool)
+    near[a, b] = near[b, a] = True
+    left = near.any(axis=1)
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue[0]] = False
+        while queue:
+            parent = queue.pop()
+            children = np.flatnonzero(near[parent] & left)
+            if len(children):
+                left[children] = False
+                queue.extend(children.tolist())
+                yield parent, children
+
+
+def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, matches: int, percent: int) -> DataFrame:
+    """Links _a, _b between members of one list that no way links yet: enough of them that every linked pair is linked in some way.
 
     Lists whose members are all linked are done. The others are dealt out by blocks of about BLOCK members and compared
-    block against block, so that no task holds a list, and only pairs above the threshold leave a task.
+    block against block, so that no task holds a list. Signatures choose what to compare; then whole sets decide inside
+    the task, and only a spanning forest of the links leaves it: fewer rows than members, however many are alike.
     """
     named = lists.join(labels, "_id", "left").select("_key", "_id", F.coalesce("_component", "_id").alias("_component"))
     open_ = named.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low != _high")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("long")
-    rows = named.join(open_, "_key").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    rows = cut(named.join(open_, "_key").withColumn("_blocks", blocks).select("_key", "_id", "_component", "_blocks", F.pmod(F.xxhash64("_id"), F.col("_blocks")).alias("_block")))
+    sets = cut(sets_of(docs, rows.select("_id").distinct(), n))
     rows = rows.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
     rows = rows.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_id", "_component")
-    rows = rows.join(classes.select("_id", "_sig", "n_shingles"), "_id")
+    rows = rows.join(sets.join(classes.select("_id", "_sig"), "_id"), "_id")
     kind = classes.schema["_id"].dataType
     schema = T.StructType([T.StructField("_a", kind), T.StructField("_b", kind)])
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
         sigs = table.column("_sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, COORDINATES)
-        ids, label, block, size = (table.column(c).to_numpy() for c in ("_id", "_component", "_block", "n_shingles"))
+        ids, label, block = (table.column(c).to_numpy() for c in ("_id", "_component", "_block"))
+        lists = table.column("_hashes").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]))
+        size = np.diff(ends)
         across = table.column("_i")[0].as_py() != table.column("_j")[0].as_py()
+        found = []
         for k in range(n - 1):
-            near = (sigs[k + 1 :] == sigs[k]).sum(axis=1) >= matches
-            near &= (label[k + 1 :] != label[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
+            near = (label[k + 1 :] != label[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
             if across:
                 near &= block[k + 1 :] != block[k]
-            if near.any():
-                other = ids[k + 1 :][near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[k])), pa.array(np.maximum(other, ids[k]))], names=["_a", "_b"])
+            other = np.flatnonzero(near) + k + 1
+            other = other[(sigs[other] == sigs[k]).sum(axis=1) >= matches]
+            if len(other):
+                found.append((np.full(len(other), k), other))
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        inter = intersections([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], a, b)
+        good = 100 * inter >= percent * (size[a] + size[b] - inter)
+        for parent, children in forest(n, a[good], b[good]):
+            other = ids[children]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[parent])), pa.array(np.maximum(other, ids[parent]))], names=["_a", "_b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("pairs")
         held, key = [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("_key", "_i", "_j")])
@@ -196,7 +252,7 @@ def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, matches: int,
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return rows.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(each, schema).distinct()
+    return map_arrow(rows.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j"), each, schema).distinct()
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
@@ -211,10 +267,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, matches: int = MATCHE
     near = near.select(F.least("_id", "_star").alias("_a"), F.greatest("_id", "_star").alias("_b")).distinct()
     links = confirmed(cut(alike(near, classes, matches, percent)), docs, n, percent)
     labels = components(links)
-    more = cut(rest(lists, labels, classes, matches, percent))
+    more = cut(rest(lists, labels, classes, docs, n, matches, percent))
     if not small(more, 0):
-        links = links.union(confirmed(more, docs, n, percent))
-        labels = components(links)
+        labels = components(links.union(more))
     found = classes.select("_set", "_id", "_copies").join(labels, "_id", "left").filter("_copies > 1 OR _component IS NOT NULL")
     return rows.drop("_sig"), cut(found.select("_set", F.coalesce("_component", "_id").alias("_component")))
 
