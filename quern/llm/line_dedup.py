@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import Memo, cut, join_checked, map_arrow, take_over
 
 SLICE = 512
-#: Leading tokens on the way to a leaf; lines of fewer than SHORT tokens recur in any prose and are left alone.
+#: Leading tokens on the way to a leaf; a line of fewer than SHORT tokens is a leaf and a template of its own, which only equal lines join.
 DEPTH, SHORT = 3, 6
 #: Share of the places at which a line must equal a template to join it.
 SIMILAR = 0.8
@@ -36,13 +36,22 @@ def token_hashes() -> Memo:
     return Memo("lines", lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
 
 
-def parsed(text: str | None) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Place, hash, leaf, deeper leaf and raw form of each line of at least SHORT tokens."""
+def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Place, hash, leaf, deeper leaf and raw form of each line of at least so many tokens.
+
+    A short line that has nothing but fields is no template: it is told by its digits.
+    """
+    signed = lambda b: xxhash.xxh3_64_intdigest(b) - 2**63
+    field = token_hashes()[FIELD].to_bytes(8, "little")
     for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else ()):
         words = line.split()
-        if len(words) >= SHORT:
-            raw = np.fromiter(map(token_hashes().__getitem__, words), np.uint64, len(words)).tobytes()
-            signed = lambda b: xxhash.xxh3_64_intdigest(b) - 2**63
+        if len(words) < least or not words:
+            continue
+        raw = np.fromiter(map(token_hashes().__getitem__, words), np.uint64, len(words)).tobytes()
+        if len(words) < SHORT:
+            h = signed(b" ".join(words) if raw == field * len(words) else raw)
+            yield k, h, h, h, line
+        else:
             yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), signed(len(words).to_bytes(8, "little") + raw[: 16 * DEPTH]), line
 
 
@@ -64,7 +73,7 @@ def sketches(found: list[int]) -> list[int]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Per line of at least SHORT tokens: _doc, doc_id, _at, _line, _leaf, _sketch (of the document's other lines) and _new (not earlier in the document)."""
+    """Per line with a token: _doc, doc_id, _at, _line, _leaf, _sketch (of the document's other lines) and _new (not earlier in the document)."""
     fields = [(n, T.LongType()) for n in ("_at", "_line", "_leaf", "_sketch", "_new")]
     schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
 
@@ -87,7 +96,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The different lines of the leaves: _leaf, _deep, _line and _raw (one of the lines that hash to it)."""
+    """The different lines of at least SHORT tokens of the leaves: _leaf, _deep, _line and _raw (one of the lines that hash to it)."""
     schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_leaf", "_deep", "_line")), T.StructField("_raw", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +105,7 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, SLICE):
                 seen = {}
                 for text in whole.slice(start, SLICE).column(0).to_pylist():
-                    for _, h, leaf, deep, raw in parsed(text):
+                    for _, h, leaf, deep, raw in parsed(text, SHORT):
                         seen[h] = (leaf, deep, raw)
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[2] for v in seen.values()], pa.binary())], names=schema.names)
 
@@ -178,7 +187,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs' rows and columns with the text, and n_chars if there is one, of what is left of it; and _lines, _dropped.
 
     Tokens are words; those with a digit are fields. A fixed-depth tree leads by the number of tokens and the DEPTH
-    first ones to a leaf, whose templates take in lines that equal them at SIMILAR of all places. A template recurs if
+    first ones to a leaf, whose templates take in lines that equal them at SIMILAR of all places, or at all of them if they
+    have fewer than SHORT tokens. A template recurs if
     it is in DOCUMENTS or more different documents, and is dropped from all but the one with the smallest doc_id. Documents
     count as different by a sketch of their other lines, and a template whose documents are less than
     SPREAD different is one of copies of whole documents, which near-duplicate removal is for: so copies stay whole.
@@ -187,7 +197,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     each different line once. Then only the places of dropped lines meet the texts. Leaves of more than LEAF different
     lines are split by their next tokens.
 
-    Null and empty texts have no line to drop. Lines of fewer than SHORT tokens stay. Rows with the same doc_id count as
+    Null and empty texts and blank lines have nothing to drop. Rows with the same doc_id count as
     one document. An empty table gives none.
     """
     rows = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))

@@ -114,6 +114,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def words_of(k, n=9):
+    """A line that shares no template with that of another k."""
+    return " ".join(f"q{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + j)}" for j in range(n))
+
+
+def deduplicated_lines(spark, texts):
+    """By place in texts: what is left of them."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+
+
+def test_line_dedup_short_lines(spark):
+    texts = [f"{words_of(k)}\nAll rights reserved.\n{words_of(k, 2)}\n{words_of(k, 3)}" for k in range(5)]
+    texts += [f"{words_of(k)}\n\nPage {k} of 9\n{words_of(k, 4)}\n{k}" for k in range(5, 10)]
+    texts += [f"{words_of(k)}\nMore" for k in range(10, 12)]
+    got = deduplicated_lines(spark, texts)
+    assert got[0] == texts[0] and got[5] == texts[5]
+    assert all(got[k] == f"{words_of(k)}\n{words_of(k, 2)}\n{words_of(k, 3)}" for k in range(1, 5))
+    assert all(got[k] == f"{words_of(k)}\n\n{words_of(k, 4)}\n{k}" for k in range(6, 10))  # numbers alone are no template
+    assert all(got[k] == texts[k] for k in (10, 11))  # in two documents only
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     some = docs.filter("doc_id < 150")
