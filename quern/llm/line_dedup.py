@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, join_checked, map_arrow, take_over
+from .common import Memo, cut, join_checked, map_arrow, small, take_over
+from .near_dup import components
 
 SLICE = 512
 #: Leading tokens on the way to a leaf; a line of fewer than SHORT tokens is a leaf and a template of its own, which only equal lines join.
@@ -23,7 +24,7 @@ SIMILAR = 0.8
 #: A template recurs if it is in so many different documents; SPREAD of the documents that hold it must be different.
 DOCUMENTS, SPREAD = 3, 0.4
 OTHERS = 8
-#: Different lines beyond which a leaf is split by its next DEPTH tokens.
+#: Different lines beyond which a leaf is split into lines that no way of shared segments links.
 LEAF = 50_000
 BROADCAST = 200_000
 FIELD = b"<*>"
@@ -36,8 +37,8 @@ def token_hashes() -> Memo:
     return Memo("lines", lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
 
 
-def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Place, hash, leaf, deeper leaf and raw form of each line of at least so many tokens.
+def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
+    """Place, hash, leaf and raw form of each line of at least so many tokens.
 
     A short line that has nothing but fields is no template: it is told by its digits.
     """
@@ -50,9 +51,9 @@ def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, in
         raw = np.fromiter(map(token_hashes().__getitem__, words), np.uint64, len(words)).tobytes()
         if len(words) < SHORT:
             h = signed(b" ".join(words) if raw == field * len(words) else raw)
-            yield k, h, h, h, line
+            yield k, h, h, line
         else:
-            yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), signed(len(words).to_bytes(8, "little") + raw[: 16 * DEPTH]), line
+            yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), line
 
 
 def sketches(found: list[int]) -> list[int]:
@@ -86,7 +87,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 for k, text in enumerate(batch.column(2).to_pylist()):
                     found = list(parsed(text))
                     seen = set()
-                    for (place, h, key, _, _), other in zip(found, sketches([f[1] for f in found]), strict=True):
+                    for (place, h, key, _), other in zip(found, sketches([f[1] for f in found]), strict=True):
                         row.append(k), at.append(place), line.append(h), leaf.append(key), sketch.append(other), new.append(int(h not in seen))
                         seen.add(h)
                 take = pa.array(row, pa.int32())
@@ -96,8 +97,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The different lines of at least SHORT tokens of the leaves: _leaf, _deep, _line and _raw (one of the lines that hash to it)."""
-    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_leaf", "_deep", "_line")), T.StructField("_raw", T.BinaryType())])
+    """The different lines of at least SHORT tokens of the leaves: _leaf, _line and _raw (one of the lines that hash to it)."""
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_leaf", "_line")), T.StructField("_raw", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("lines")
@@ -105,34 +106,41 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, SLICE):
                 seen = {}
                 for text in whole.slice(start, SLICE).column(0).to_pylist():
-                    for _, h, leaf, deep, raw in parsed(text, SHORT):
-                        seen[h] = (leaf, deep, raw)
-                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[2] for v in seen.values()], pa.binary())], names=schema.names)
+                    for _, h, leaf, raw in parsed(text, SHORT):
+                        seen[h] = (leaf, raw)
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], names=schema.names)
 
     every = map_arrow(docs.select("text"), each, schema)
-    return join_checked(every, leaves, "_leaf", "left_semi", BROADCAST).groupBy("_leaf", "_deep", "_line").agg(F.min("_raw").alias("_raw"))
+    return join_checked(every, leaves, "_leaf", "left_semi", BROADCAST).groupBy("_leaf", "_line").agg(F.min("_raw").alias("_raw"))
+
+
+def masked(raw: bytes) -> list[bytes]:
+    """The tokens of a line; those with a digit are fields."""
+    return [FIELD if DIGIT.search(w) else w for w in raw.split()]
+
+
+def segments(tokens: list[bytes]) -> list[tuple]:
+    """The segments into which a line is cut after its DEPTH first tokens, which all lines of a leaf share: one more than may be unlike."""
+    n, rest = len(tokens), len(tokens) - DEPTH
+    pieces = min(rest, n - int(np.ceil(SIMILAR * n)) + 1)
+    edges = [DEPTH + k * rest // pieces for k in range(pieces + 1)]
+    return [(k, *tokens[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 class Leaf:
     """The templates of one leaf. A line joins the template that equals it at most places, if these are enough; the template's other places become fields.
 
-    Candidates share one of the segments into which a line is cut: with fewer unlike places than segments, one segment
-    is alike.
+    Candidates are the templates whose first line shares a segment with it: with fewer unlike places than segments, one
+    segment is alike.
     """
 
     def __init__(self):
         self.templates: list[tuple[int, list[bytes]]] = []
         self.by_segment: dict[tuple, list[int]] = {}
 
-    def segments(self, tokens: list[bytes]) -> list[tuple]:
-        n = len(tokens)
-        pieces = min(n, n - int(np.ceil(SIMILAR * n)) + 1)
-        edges = [k * n // pieces for k in range(pieces + 1)]
-        return [(k, *tokens[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-
     def add(self, line: int, tokens: list[bytes]) -> int:
         """The hash of the first line of the template that the line joins or founds."""
-        keys = self.segments(tokens)
+        keys = segments(tokens)
         best, found = -1, None
         for t in sorted({t for k in keys for t in self.by_segment.get(k, ())}):
             alike = sum(map(bytes.__eq__, self.templates[t][1], tokens))
@@ -148,6 +156,28 @@ class Leaf:
         return first
 
 
+def parts(different: DataFrame) -> DataFrame:
+    """_line and _component: lines of a leaf that share a segment, or are linked by others that do, have the same one.
+
+    A line meets only the templates whose first lines share a segment with it, so the templates of a leaf are those of
+    its parts.
+    """
+    schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_line", T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, line = [], []
+            for leaf, h, raw in zip(*(batch.column(c).to_pylist() for c in ("_leaf", "_line", "_raw")), strict=True):
+                for k, *tokens in segments(masked(raw)):
+                    part.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, k) + b" ".join(tokens)) - 2**63), line.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(line, pa.int64())], names=schema.names)
+
+    shared = cut(map_arrow(different.select("_leaf", "_line", "_raw"), each, schema))
+    least = shared.groupBy("_part").agg(F.min("_line").alias("_a"))
+    links = shared.join(least, "_part").filter("_line != _a").select("_a", F.col("_line").alias("_b")).distinct()
+    return components(links).withColumnRenamed("_id", "_line")
+
+
 def templates(different: DataFrame) -> DataFrame:
     """_line and _template, the hash of the first line of its template, for lines that are not the first one themselves."""
     schema = T.StructType([T.StructField("_line", T.LongType()), T.StructField("_template", T.LongType())])
@@ -160,12 +190,16 @@ def templates(different: DataFrame) -> DataFrame:
             for k, h, raw in zip(*(batch.column(c).to_pylist() for c in ("_key", "_line", "_raw")), strict=True):
                 if k != key:
                     leaf, key = Leaf(), k
-                if (t := leaf.add(h, [FIELD if DIGIT.search(w) else w for w in raw.split()])) != h:
+                if (t := leaf.add(h, masked(raw))) != h:
                     line.append(h), template.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(template, pa.int64())], names=schema.names)
 
-    sizes = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = different.join(sizes, "_leaf").withColumn("_key", F.when(F.col("_n") > LEAF, F.col("_deep")).otherwise(F.col("_leaf")))
+    large = cut(different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LEAF).select("_leaf"))
+    keyed = different.withColumn("_key", F.col("_leaf"))
+    if not small(large, 0):
+        split = parts(join_checked(different, large, "_leaf", "left_semi", BROADCAST))
+        held = join_checked(different, large.withColumn("_large", F.lit(True)), "_leaf", "left", BROADCAST)
+        keyed = held.join(split, "_line", "left").withColumn("_key", F.when(F.col("_large"), F.coalesce("_component", "_line")).otherwise(F.col("_leaf")))
     return map_arrow(keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line"), each, schema)
 
 
@@ -195,7 +229,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     First, only the leaves' hashes are counted; only lines of leaves that several documents reach are parsed further,
     each different line once. Then only the places of dropped lines meet the texts. Leaves of more than LEAF different
-    lines are split by their next tokens.
+    lines are split into parts that share no segment, which changes none of their templates.
 
     Null and empty texts and blank lines have nothing to drop. Rows with the same doc_id count as
     one document. An empty table gives none.

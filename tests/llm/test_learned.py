@@ -136,6 +136,15 @@ def test_line_dedup_short_lines(spark):
     assert all(got[k] == texts[k] for k in (10, 11))  # in two documents only
 
 
+def test_line_dedup_large_leaves(spark, monkeypatch):
+    lines = [f"order placed by {words_of(k, 1)} on our site today" for k in range(40)] + [f"order placed by us {words_of(k, 1)} {words_of(k + 9, 3)}" for k in range(40)]
+    texts = [f"{line}\n{words_of(k)}\n{words_of(k, 7)}" for k, line in enumerate(lines)]
+    whole = deduplicated_lines(spark, texts)
+    monkeypatch.setattr(line_dedup, "LEAF", 10)
+    assert deduplicated_lines(spark, texts) == whole
+    assert all(whole[k] == f"{words_of(k)}\n{words_of(k, 7)}" for k in range(1, 40)) and whole[50] == texts[50]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     some = docs.filter("doc_id < 150")
