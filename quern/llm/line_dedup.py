@@ -21,8 +21,8 @@ SLICE = 512
 DEPTH, SHORT = 3, 6
 #: Share of the places at which a line must equal a template to join it.
 SIMILAR = 0.8
-#: A template recurs if it is in so many different documents; SPREAD of the documents that hold it must be different.
-DOCUMENTS, SPREAD = 3, 0.4
+#: A template recurs if it is in so many different documents.
+DOCUMENTS = 3
 OTHERS = 8
 #: Different lines beyond which a leaf is split into lines that no way of shared segments links.
 LEAF = 50_000
@@ -74,26 +74,24 @@ def sketches(found: list[int]) -> list[int]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Per line with a token: _doc, doc_id, _at, _line, _leaf, _sketch (of the document's other lines) and _new (not earlier in the document)."""
-    fields = [(n, T.LongType()) for n in ("_at", "_line", "_leaf", "_sketch", "_new")]
-    schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
+    """Per line with a token: _doc, doc_id, _same (alike for equal texts), _at, _line, _leaf and _sketch (of the document's other lines)."""
+    fields = [(n, T.LongType()) for n in ("_at", "_line", "_leaf", "_sketch")]
+    schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], T.StructField("_same", T.LongType()), *(T.StructField(n, t) for n, t in fields)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("lines")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                row, at, line, leaf, sketch, new = [], [], [], [], [], []
-                for k, text in enumerate(batch.column(2).to_pylist()):
+                row, at, line, leaf, sketch = [], [], [], [], []
+                for k, text in enumerate(batch.column(3).to_pylist()):
                     found = list(parsed(text))
-                    seen = set()
                     for (place, h, key, _), other in zip(found, sketches([f[1] for f in found]), strict=True):
-                        row.append(k), at.append(place), line.append(h), leaf.append(key), sketch.append(other), new.append(int(h not in seen))
-                        seen.add(h)
+                        row.append(k), at.append(place), line.append(h), leaf.append(key), sketch.append(other)
                 take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch, new))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch))], names=schema.names)
 
-    return map_arrow(docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text"), each, schema)
+    return map_arrow(docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"), "text"), each, schema)
 
 
 def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -210,10 +208,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     joined = cut(templates(cut(texts_of(docs, leaves))))
     shared = join_checked(found, leaves, "_leaf", "left_semi", BROADCAST)
     named = join_checked(shared, joined, "_line", "left", BROADCAST).withColumn("_template", F.coalesce("_template", "_line"))
-    by_sketch = named.groupBy("_template", "_sketch").agg(F.sum("_new").alias("_docs"), F.min("doc_id").alias("_first"))
-    recurring = by_sketch.groupBy("_template").agg(F.count(F.lit(1)).alias("_n"), F.sum("_docs").alias("_docs"), F.min("_first").alias("_first"))
-    recurring = cut(recurring.filter((F.col("_n") >= DOCUMENTS) & (F.col("_n") >= SPREAD * F.col("_docs"))).select("_template", "_first"))
-    gone = join_checked(named, recurring, "_template", "inner", BROADCAST).filter(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    by_sketch = named.groupBy("_template", "_sketch").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_same"))).alias("_first"))
+    recurring = by_sketch.groupBy("_template").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
+    recurring = cut(recurring.filter(F.col("_n") >= DOCUMENTS).select("_template", F.col("_first.doc_id").alias("_first"), F.col("_first._same").alias("_kept")))
+    gone = join_checked(named, recurring, "_template", "inner", BROADCAST).filter(~F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_same") != F.col("_kept")))
     return cut(gone.groupBy("_doc").agg(F.collect_set("_at").alias("_drop")))
 
 
@@ -223,9 +221,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Tokens are words; those with a digit are fields. A fixed-depth tree leads by the number of tokens and the DEPTH
     first ones to a leaf, whose templates take in lines that equal them at SIMILAR of all places, or at all of them if they
     have fewer than SHORT tokens. A template recurs if
-    it is in DOCUMENTS or more different documents, and is dropped from all but the one with the smallest doc_id. Documents
-    count as different by a sketch of their other lines, and a template whose documents are less than
-    SPREAD different is one of copies of whole documents, which near-duplicate removal is for: so copies stay whole.
+    it is in DOCUMENTS or more different documents, and is dropped from all but the one with the smallest doc_id and that
+    one's copies. Documents count as different by a sketch of their other lines, and a group of copies counts as one
+    however large it is: what only copies of one document hold stays for near-duplicate removal. Equal texts keep or
+    lose the same lines, so copies stay copies.
 
     First, only the leaves' hashes are counted; only lines of leaves that several documents reach are parsed further,
     each different line once. Then only the places of dropped lines meet the texts. Leaves of more than LEAF different

@@ -145,6 +145,16 @@ def test_line_dedup_large_leaves(spark, monkeypatch):
     assert all(whole[k] == f"{words_of(k)}\n{words_of(k, 7)}" for k in range(1, 40)) and whole[50] == texts[50]
 
 
+def test_line_dedup_beside_copies(spark):
+    line = "a shared passage of many plain words that pages hold"
+    page = lambda k: f"{words_of(k)}\n{line}\n{words_of(k, 7)}"
+    left = lambda k: f"{words_of(k)}\n{words_of(k, 7)}"
+    got = deduplicated_lines(spark, [*map(page, range(10)), *[page(100)] * 40])
+    assert got[0] == page(0) and all(got[k] == left(k) for k in range(1, 10)) and all(got[k] == left(100) for k in range(10, 50))
+    got = deduplicated_lines(spark, [*[page(100)] * 40, *map(page, range(10))])
+    assert all(got[k] == page(100) for k in range(40)) and all(got[k + 40] == left(k) for k in range(10))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     some = docs.filter("doc_id < 150")
