@@ -23,7 +23,8 @@ DEPTH, SHORT = 3, 6
 SIMILAR = 0.8
 #: A template recurs if it is in so many different documents.
 DOCUMENTS = 3
-OTHERS = 8
+#: A sketch is that of the LEAST first ones among OTHERS other lines.
+OTHERS, LEAST = 8, 3
 #: Different lines beyond which a leaf is split into lines that no way of shared segments links.
 LEAF = 50_000
 BROADCAST = 200_000
@@ -37,8 +38,8 @@ def token_hashes() -> Memo:
     return Memo("lines", lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
 
 
-def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
-    """Place, hash, leaf and raw form of each line of at least so many tokens.
+def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Place, hash, leaf, hash with digits and raw form of each line of at least so many tokens.
 
     A short line that has nothing but fields is no template: it is told by its digits.
     """
@@ -49,28 +50,32 @@ def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, by
         if len(words) < least or not words:
             continue
         raw = np.fromiter(map(token_hashes().__getitem__, words), np.uint64, len(words)).tobytes()
+        told = signed(b" ".join(words))
         if len(words) < SHORT:
-            h = signed(b" ".join(words) if raw == field * len(words) else raw)
-            yield k, h, h, line
+            h = told if raw == field * len(words) else signed(raw)
+            yield k, h, h, told, line
         else:
-            yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), line
+            yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), told, line
 
 
-def sketches(found: list[int]) -> list[int]:
-    """For each line, which of up to OTHERS other lines of its document comes first in an order of the line's own.
+def sketches(told: list[int]) -> list[int]:
+    """For each line, which LEAST of up to OTHERS other lines of its document, digits and all, come first in an order of the line's own.
 
-    Copies of a document agree in it, also where a few lines differ; different documents that share a line, or several,
-    mostly don't.
+    Copies of a document agree in them, often also where a few lines differ; different documents don't, though they share
+    a line or a passage, unless LEAST others are shared and come first. A line without others stands for itself.
     """
-    if not found:
+    if not told:
         return []
-    hashes = np.array(found, np.int64).view(np.uint64)
-    others = np.unique(hashes)[:OTHERS]
+    hashes = np.array(told, np.int64).view(np.uint64)
+    others = np.unique(hashes)[: OTHERS + 1]
+    if len(others) == 1:
+        return told
     with np.errstate(over="ignore"):
         mixed = (others ^ hashes[:, None]) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed[others == hashes[:, None]] = 2**64 - 1
-    return mixed.min(axis=1).view(np.int64).tolist()
+        mixed[others == hashes[:, None]] = 2**64 - 1
+        mixed.sort(axis=1)
+        return mixed[:, :LEAST].sum(axis=1).view(np.int64).tolist()
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 row, at, line, leaf, sketch = [], [], [], [], []
                 for k, text in enumerate(batch.column(3).to_pylist()):
                     found = list(parsed(text))
-                    for (place, h, key, _), other in zip(found, sketches([f[1] for f in found]), strict=True):
+                    for (place, h, key, _, _), other in zip(found, sketches([f[3] for f in found]), strict=True):
                         row.append(k), at.append(place), line.append(h), leaf.append(key), sketch.append(other)
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch))], names=schema.names)
@@ -104,7 +109,7 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, SLICE):
                 seen = {}
                 for text in whole.slice(start, SLICE).column(0).to_pylist():
-                    for _, h, leaf, raw in parsed(text, SHORT):
+                    for _, h, leaf, _, raw in parsed(text, SHORT):
                         seen[h] = (leaf, raw)
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], names=schema.names)
 

@@ -155,6 +155,18 @@ def test_line_dedup_beside_copies(spark):
     assert all(got[k] == page(100) for k in range(40)) and all(got[k + 40] == left(k) for k in range(10))
 
 
+def test_line_dedup_documents_of_one_line(spark):
+    code = [f"Your verification code is {k * 7919 + 100000} do not share it" for k in range(8)]
+    texts = [*code, *[f"{c}\nRequest number {k} of today was seen" for k, c in enumerate(code)]]
+    passage = "\n".join(words_of(k) for k in range(4))
+    texts += [f"{words_of(k, 2)}\n{passage}" for k in range(50, 62)]
+    got = deduplicated_lines(spark, [*texts, *["one line that many copies have alone"] * 5])
+    assert got[0] == texts[0] and all(got[k] == "" for k in range(1, 8))
+    assert got[8] == "Request number 0 of today was seen" and all(got[k] == "" for k in range(9, 16))
+    assert got[16] == texts[16] and all(got[k] == words_of(k + 34, 2) for k in range(17, 28))
+    assert all(got[k] == "one line that many copies have alone" for k in range(28, 33))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     some = docs.filter("doc_id < 150")
