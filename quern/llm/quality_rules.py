@@ -76,8 +76,11 @@ def word_hashes() -> Memo:
 
 
 def script(text: str) -> str:
-    """The script of most letters among those of up to 400 places spread over the text."""
-    seen = Counter(unicodedata.name(c, "").partition(" ")[0] for c in text[:: max(1, len(text) // 400)] if c.isalpha())
+    """The script of most letters of the text; each different letter is looked up once."""
+    seen = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            seen[unicodedata.name(c, "").partition(" ")[0]] += n
     if not seen:
         return ""
     first = seen.most_common(1)[0][0]

@@ -56,6 +56,11 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs.drop("lang").limit(0)).count() == 0
 
 
+def test_script_counts_whole_text():
+    assert quality_rules.script("\u0434a" * 400 + "aa") == "LATIN"  # every second letter is Cyrillic
+    assert quality_rules.script("1" * 500 + "\u0434" + "1" * 500) == "CYRILLIC" and quality_rules.script("12 ") == ""
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 32)).astype(np.float32)
