@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of a text, as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; only a session without one, as in tests, gets its own."""
+    """The checkpoint folder that all executors share, as spark.checkpoint.dir names it.
+
+    Only a session on one machine, as in tests, gets a folder of its own; on a cluster a missing one is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-"))
     return context.getCheckpointDir()
 
 
@@ -30,13 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+#: What a broadcast may hold, as its values are counted.
+BROADCAST_BYTES = 32 * 2**20
+
+
+def width(field: T.StructField) -> Column:
+    """About the bytes of a row's value; 32 for each member of an array that is not of numbers."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+    if isinstance(field.dataType, T.ArrayType):
+        return F.coalesce(F.size(field.name), F.lit(0)) * (8 if isinstance(field.dataType.elementType, T.NumericType) else 32) + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes. It is counted where it lies, so it should be cheap to read twice."""
+    found = df.agg(F.count(F.lit(1)), F.sum(sum((width(f) for f in df.schema), F.lit(0)).cast("long"))).first()
+    return found[0] <= rows and (found[1] or 0) <= size
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> DataFrame:
-    """left joined with right; right is broadcast only if it is seen to have at most so many rows, else both are shuffled."""
+    """left joined with right; right is broadcast only if it is counted to have at most so many rows and BROADCAST_BYTES, else both are shuffled."""
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 
@@ -60,16 +82,20 @@ def spread(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of whole texts that go to Python at once, on either side, where the session has left Spark's default.
+#: Rows of whole texts that go to Python at once, on either side, where the session leaves that open.
 ARROW_ROWS = 1000
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow in batches of ARROW_ROWS: Spark's default of 10,000 is meant for narrow rows, and its buffers stay with the executor."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(ARROW_ROWS))
-    return df.mapInArrow(function, schema)
+def tuned(spark: SparkSession) -> SparkSession:
+    """For entry points: the session with Arrow batches of ARROW_ROWS, if it has not chosen a number.
+
+    Spark's default of 10,000 is meant for narrow rows, and the buffers of whole texts stay with the executor. Operators
+    leave the session alone; they slice what they get.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
 
 
 #: What each operator keeps in a Python worker: its name and how to let go of it.

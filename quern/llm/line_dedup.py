@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, join_checked, map_arrow, small, take_over
+from .common import Memo, cut, join_checked, small, take_over
 from .near_dup import components
 
 SLICE = 512
@@ -96,7 +96,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch))], names=schema.names)
 
-    return map_arrow(docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"), "text"), each, schema)
+    return docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"), "text").mapInArrow(each, schema)
 
 
 def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                         seen[h] = (leaf, raw)
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], names=schema.names)
 
-    every = map_arrow(docs.select("text"), each, schema)
+    every = docs.select("text").mapInArrow(each, schema)
     return join_checked(every, leaves, "_leaf", "left_semi", BROADCAST).groupBy("_leaf", "_line").agg(F.min("_raw").alias("_raw"))
 
 
@@ -175,7 +175,7 @@ def parts(different: DataFrame) -> DataFrame:
                     part.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, k) + b" ".join(tokens)) - 2**63), line.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(line, pa.int64())], names=schema.names)
 
-    shared = cut(map_arrow(different.select("_leaf", "_line", "_raw"), each, schema))
+    shared = cut(different.select("_leaf", "_line", "_raw").mapInArrow(each, schema))
     least = shared.groupBy("_part").agg(F.min("_line").alias("_a"))
     links = shared.join(least, "_part").filter("_line != _a").select("_a", F.col("_line").alias("_b")).distinct()
     return components(links).withColumnRenamed("_id", "_line")
@@ -203,7 +203,7 @@ def templates(different: DataFrame) -> DataFrame:
         split = parts(join_checked(different, large, "_leaf", "left_semi", BROADCAST))
         held = join_checked(different, large.withColumn("_large", F.lit(True)), "_leaf", "left", BROADCAST)
         keyed = held.join(split, "_line", "left").withColumn("_key", F.when(F.col("_large"), F.coalesce("_component", "_line")).otherwise(F.col("_leaf")))
-    return map_arrow(keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line"), each, schema)
+    return keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line").mapInArrow(each, schema)
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, map_arrow, take_over
+from .common import Memo, take_over
 
 SLICE = 512
 #: Features are hashed to 2 ** BITS weights.
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], names=schema.names)
 
-    rows = map_arrow(found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label"), make, schema).collect()
+    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema).collect()
     rows.sort(key=lambda r: (zlib.crc32(f"order {r.id}".encode()), r.id))
     return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4"), r["label"]) for r in rows])
 
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 batch = whole.slice(start, SLICE)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(batch, 1, weights, bias))], names=schema.names)
 
-    out = map_arrow(docs.select("doc_id", "text"), score, schema)
+    out = docs.select("doc_id", "text").mapInArrow(score, schema)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -142,4 +142,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 batch = whole.slice(start, SLICE)
                 yield batch.filter(pa.array(scored(batch, text, weights, bias) >= threshold))
 
-    return map_arrow(docs, keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

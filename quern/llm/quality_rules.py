@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, map_arrow, take_over
+from .common import Memo, take_over
 
 SLICE = 512
 SYMBOLS = "#*$%&|<>"
@@ -161,4 +161,4 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] | None = None, path: s
                     rows = [judge(t, x, bands, path) for t, x in zip(batch.column(1).to_pylist(), langs, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True))], names=schema.names)
 
-    return map_arrow(docs.select(*columns), each, schema)
+    return docs.select(*columns).mapInArrow(each, schema)

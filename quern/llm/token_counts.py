@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, take_over
+from .common import take_over
 from .vocabulary import counter, default_path
 
 #: Rows that Python holds at once.
@@ -37,4 +37,4 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None, te
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return map_arrow(rows, count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -72,3 +72,41 @@ def test_intersections_and_forest():
     assert near_dup.intersections(sets, a, b).tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)]
     edges = [(p, c) for p, cs in near_dup.forest(6, np.array([0, 1, 4]), np.array([1, 2, 5])) for c in cs]
     assert len(edges) == 3 and {frozenset(e) for e in edges} == {frozenset(e) for e in ((0, 1), (1, 2), (4, 5))}
+
+
+def test_repeated_ids_text_ids_and_clashes(spark):
+    long = " ".join(f"w{k * k % 977}" for k in range(30_000))
+    rows = [(5, "one two three four five six"), (5, "quite another text that stands alone here"), (9, "one two three four five six"), (7, long), (8, long + " end"), (8, long + " end")]
+    docs = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, kept string, n_shingles int")
+    left = near_dup.deduplicated(docs).collect()
+    assert sorted((r.doc_id, len(r.text), r.kept, r.n_shingles) for r in left) == sorted((k, len(t), "x", 3) for k, t in (rows[0], rows[1], rows[3]))
+    texts = corpus()
+    named = spark.createDataFrame([(f"d{k:05d}", t) for k, t in texts], "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(named, 4).collect()}
+    assert got == {f"d{k:05d}": f"d{c:05d}" for k, (_, c) in brute(texts, 4).items()}
+    assert {r.doc_id for r in near_dup.deduplicated(named, 5).collect()} == {f"d{k:05d}" for k, (_, c) in brute(texts, 5).items() if k == c}
+
+
+def test_blocks_of_one_list(spark, monkeypatch):
+    """Lists that are cut to many blocks, with stars in several copies, give the same groups."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "DEALT", 5)
+    texts = corpus()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 4).collect()} == brute(texts, 4)
+
+
+def test_components_take_few_rounds(spark):
+    ids = list(range(4096))
+    random.Random(8).shuffle(ids)
+    links = [(min(p), max(p)) for p in zip(ids, ids[1:], strict=False)] + [(5001, 5002), (5000, 5002), (7, 7)]
+    df = spark.createDataFrame(links, "_a long, _b long").repartition(3)
+    for held in (2, near_dup.HELD):
+        rounds = []
+        got = {r._id: r._component for r in near_dup.components(df, held, rounds).collect()}
+        assert got == {**dict.fromkeys(ids, 0), 5000: 5000, 5001: 5000, 5002: 5000}
+        assert len(rounds) <= 16
+
+
+def test_lost():
+    assert near_dup.lost() < 1e-9 < near_dup.lost(31) and near_dup.lost(30, 85) < 1e-12
