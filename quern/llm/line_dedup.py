@@ -2,248 +2,181 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, join_checked, small, take_over
+from .common import cut, join_checked
 from .near_dup import components
 
 SLICE = 512
 #: Leading tokens on the way to a leaf; a line of fewer than SHORT tokens is a leaf and a template of its own, which only equal lines join.
 DEPTH, SHORT = 3, 6
-#: Share of the places at which a line must equal a template to join it.
-SIMILAR = 0.8
 #: A template recurs if it is in so many different documents.
 DOCUMENTS = 3
-#: A sketch is that of the LEAST first ones among OTHERS other lines.
-OTHERS, LEAST = 8, 3
-#: Different lines beyond which a leaf is split into lines that no way of shared segments links.
-LEAF = 50_000
+#: At most one place of so many is generalised to a field.
+PLACES = 5
 BROADCAST = 200_000
 FIELD = b"<*>"
 DIGIT = re.compile(rb"\d")
+DIGITS = b"0123456789"
 
 
-@functools.cache
-def token_hashes() -> Memo:
-    """Hashes of tokens; all that hold a digit are the same field."""
-    return Memo("lines", lambda w: xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(w) else w))
+def hashed(b: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b) - 2**63
 
 
-def parsed(text: str | None, least: int = 1) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Place, hash, leaf, hash with digits and raw form of each line of at least so many tokens.
+def masked(words: list[bytes], line: bytes) -> list[bytes]:
+    """The tokens of a line; those with a digit are fields."""
+    if len(line.translate(None, DIGITS)) == len(line):
+        return words
+    return [FIELD if DIGIT.search(w) else w for w in words]
+
+
+def parsed(text: str | None) -> Iterator[tuple[int, int, int, int]]:
+    """Place, hash, leaf and hash with digits of each line with a token.
 
     A short line that has nothing but fields is no template: it is told by its digits.
     """
-    signed = lambda b: xxhash.xxh3_64_intdigest(b) - 2**63
-    field = token_hashes()[FIELD].to_bytes(8, "little")
     for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else ()):
         words = line.split()
-        if len(words) < least or not words:
+        if not words:
             continue
-        raw = np.fromiter(map(token_hashes().__getitem__, words), np.uint64, len(words)).tobytes()
-        told = signed(b" ".join(words))
-        if len(words) < SHORT:
-            h = told if raw == field * len(words) else signed(raw)
-            yield k, h, h, told, line
+        told = hashed(b" ".join(words))
+        tokens = masked(words, line)
+        h = told if tokens is words else hashed(b" ".join(tokens))
+        if len(words) >= SHORT:
+            yield k, h, hashed(b"%d " % len(words) + b" ".join(tokens[:DEPTH])), told
+        elif tokens is not words and tokens == [FIELD] * len(tokens):
+            yield k, told, told, told
         else:
-            yield k, signed(raw), signed(len(words).to_bytes(8, "little") + raw[: 8 * DEPTH]), told, line
-
-
-def sketches(told: list[int]) -> list[int]:
-    """For each line, which LEAST of up to OTHERS other lines of its document, digits and all, come first in an order of the line's own.
-
-    Copies of a document agree in them, often also where a few lines differ; different documents don't, though they share
-    a line or a passage, unless LEAST others are shared and come first. A line without others stands for itself.
-    """
-    if not told:
-        return []
-    hashes = np.array(told, np.int64).view(np.uint64)
-    others = np.unique(hashes)[: OTHERS + 1]
-    if len(others) == 1:
-        return told
-    with np.errstate(over="ignore"):
-        mixed = (others ^ hashes[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed[others == hashes[:, None]] = 2**64 - 1
-        mixed.sort(axis=1)
-        return mixed[:, :LEAST].sum(axis=1).view(np.int64).tolist()
+            yield k, h, h, told
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Per line with a token: _doc, doc_id, _same (alike for equal texts), _at, _line, _leaf and _sketch (of the document's other lines)."""
-    fields = [(n, T.LongType()) for n in ("_at", "_line", "_leaf", "_sketch")]
-    schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], T.StructField("_same", T.LongType()), *(T.StructField(n, t) for n, t in fields)])
+    """Per line with a token: _doc, doc_id, _class (alike for documents with equal lines, in any order), _at, _line, _leaf."""
+    schema = T.StructType([T.StructField("_doc", T.LongType()), docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("_class", "_at", "_line", "_leaf"))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("lines")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                row, at, line, leaf, sketch = [], [], [], [], []
-                for k, text in enumerate(batch.column(3).to_pylist()):
+                row, kind, at, line, leaf = [], [], [], [], []
+                for k, text in enumerate(batch.column(2).to_pylist()):
                     found = list(parsed(text))
-                    for (place, h, key, _, _), other in zip(found, sketches([f[3] for f in found]), strict=True):
-                        row.append(k), at.append(place), line.append(h), leaf.append(key), sketch.append(other)
+                    total = sum(f[3] for f in found) % 2**64 - 2**63
+                    for place, h, key, _ in found:
+                        row.append(k), kind.append(total), at.append(place), line.append(h), leaf.append(key)
                 take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), *(pa.array(x, pa.int64()) for x in (at, line, leaf, sketch))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(2)), *(pa.array(x, pa.int64()) for x in (kind, at, line, leaf))], names=schema.names)
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", F.xxhash64("text").alias("_same"), "text").mapInArrow(each, schema)
+    return docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text").mapInArrow(each, schema)
 
 
-def texts_of(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The different lines of at least SHORT tokens of the leaves: _leaf, _line and _raw (one of the lines that hash to it)."""
-    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_leaf", "_line")), T.StructField("_raw", T.BinaryType())])
+def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The masked tokens of the lines at the places (_doc, _places): _line, _leaf, _masked."""
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("_line", "_leaf")), T.StructField("_masked", T.StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("lines")
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
-                seen = {}
-                for text in whole.slice(start, SLICE).column(0).to_pylist():
-                    for _, h, leaf, _, raw in parsed(text, SHORT):
-                        seen[h] = (leaf, raw)
-                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], names=schema.names)
-
-    every = docs.select("text").mapInArrow(each, schema)
-    return join_checked(every, leaves, "_leaf", "left_semi", BROADCAST).groupBy("_leaf", "_line").agg(F.min("_raw").alias("_raw"))
-
-
-def masked(raw: bytes) -> list[bytes]:
-    """The tokens of a line; those with a digit are fields."""
-    return [FIELD if DIGIT.search(w) else w for w in raw.split()]
+                batch, seen = whole.slice(start, SLICE), {}
+                for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    every = text.encode("utf-8", "surrogatepass").split(b"\n")
+                    for line in (every[k] for k in at):
+                        tokens = masked(words := line.split(), line)
+                        seen[b" ".join(tokens)] = hashed(b"%d " % len(words) + b" ".join(tokens[:DEPTH]))
+                yield pa.RecordBatch.from_arrays([pa.array(map(hashed, seen), pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([t.decode("utf-8", "replace") for t in seen], pa.string())], names=schema.names)
 
+    found = join_checked(docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "text"), places, "_doc", "inner", BROADCAST)
+    return found.select("text", "_places").mapInArrow(each, schema).groupBy("_line", "_leaf").agg(F.min("_masked").alias("_masked"))
 
-def segments(tokens: list[bytes]) -> list[tuple]:
-    """The segments into which a line is cut after its DEPTH first tokens, which all lines of a leaf share: one more than may be unlike."""
-    n, rest = len(tokens), len(tokens) - DEPTH
-    pieces = min(rest, n - int(np.ceil(SIMILAR * n)) + 1)
-    edges = [DEPTH + k * rest // pieces for k in range(pieces + 1)]
-    return [(k, *tokens[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
+def generalised(different: DataFrame, documents: DataFrame) -> DataFrame:
+    """_line, _leaf, _general and _tokens: the lines with their rare tokens turned to fields.
 
-class Leaf:
-    """The templates of one leaf. A line joins the template that equals it at most places, if these are enough; the template's other places become fields.
-
-    Candidates are the templates whose first line shares a segment with it: with fewer unlike places than segments, one
-    segment is alike.
-    """
-
-    def __init__(self):
-        self.templates: list[tuple[int, list[bytes]]] = []
-        self.by_segment: dict[tuple, list[int]] = {}
-
-    def add(self, line: int, tokens: list[bytes]) -> int:
-        """The hash of the first line of the template that the line joins or founds."""
-        keys = segments(tokens)
-        best, found = -1, None
-        for t in sorted({t for k in keys for t in self.by_segment.get(k, ())}):
-            alike = sum(map(bytes.__eq__, self.templates[t][1], tokens))
-            if alike > best and alike >= SIMILAR * len(tokens):
-                best, found = alike, t
-        if found is None:
-            for k in keys:
-                self.by_segment.setdefault(k, []).append(len(self.templates))
-            self.templates.append((line, tokens))
-            return line
-        first, template = self.templates[found]
-        self.templates[found] = (first, [a if a == b else FIELD for a, b in zip(template, tokens, strict=True)])
-        return first
-
-
-def parts(different: DataFrame) -> DataFrame:
-    """_line and _component: lines of a leaf that share a segment, or are linked by others that do, have the same one.
-
-    A line meets only the templates whose first lines share a segment with it, so the templates of a leaf are those of
-    its parts.
+    documents: the different documents (_n) of each line. A token is rare if the lines of the leaf that have it at that
+    place are in fewer than DOCUMENTS documents, counted line by line, which are two lines at most. A line of which more
+    than one place in PLACES is rare stays as it is.
     """
-    schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_line", T.LongType())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, line = [], []
-            for leaf, h, raw in zip(*(batch.column(c).to_pylist() for c in ("_leaf", "_line", "_raw")), strict=True):
-                for k, *tokens in segments(masked(raw)):
-                    part.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, k) + b" ".join(tokens)) - 2**63), line.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(line, pa.int64())], names=schema.names)
-
-    shared = cut(different.select("_leaf", "_line", "_raw").mapInArrow(each, schema))
-    least = shared.groupBy("_part").agg(F.min("_line").alias("_a"))
-    links = shared.join(least, "_part").filter("_line != _a").select("_a", F.col("_line").alias("_b")).distinct()
-    return components(links).withColumnRenamed("_id", "_line")
-
-
-def templates(different: DataFrame) -> DataFrame:
-    """_line and _template, the hash of the first line of its template, for lines that are not the first one themselves."""
-    schema = T.StructType([T.StructField("_line", T.LongType()), T.StructField("_template", T.LongType())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("lines")
-        leaf, key = Leaf(), None
-        for batch in batches:
-            line, template = [], []
-            for k, h, raw in zip(*(batch.column(c).to_pylist() for c in ("_key", "_line", "_raw")), strict=True):
-                if k != key:
-                    leaf, key = Leaf(), k
-                if (t := leaf.add(h, masked(raw))) != h:
-                    line.append(h), template.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(template, pa.int64())], names=schema.names)
-
-    large = cut(different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LEAF).select("_leaf"))
-    keyed = different.withColumn("_key", F.col("_leaf"))
-    if not small(large, 0):
-        split = parts(join_checked(different, large, "_leaf", "left_semi", BROADCAST))
-        held = join_checked(different, large.withColumn("_large", F.lit(True)), "_leaf", "left", BROADCAST)
-        keyed = held.join(split, "_line", "left").withColumn("_key", F.when(F.col("_large"), F.coalesce("_component", "_line")).otherwise(F.col("_leaf")))
-    return keyed.select("_key", "_line", "_raw").repartition("_key").sortWithinPartitions("_key", "_raw", "_line").mapInArrow(each, schema)
+    tokens = different.join(documents, "_line").select("_line", "_leaf", "_n", F.posexplode(F.split("_masked", " ")).alias("_at", "_token"))
+    tokens = tokens.filter(F.col("_token") != FIELD.decode())
+    rare = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("_n").alias("_n"), F.min("_line").alias("_low"), F.max("_line").alias("_high")).filter(F.col("_n") < DOCUMENTS)
+    rare = rare.select("_at", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_line")).groupBy("_line").agg(F.collect_set("_at").alias("_rare"))
+    rows = different.join(rare, "_line", "left").withColumn("_tokens", F.split("_masked", " "))
+    free = F.transform("_tokens", lambda t, k: F.when(F.array_contains("_rare", k), FIELD.decode()).otherwise(t))
+    rows = rows.withColumn("_tokens", F.when(F.size("_rare") * PLACES <= F.size("_tokens"), free).otherwise(F.col("_tokens")))
+    return rows.select("_line", "_leaf", F.xxhash64("_leaf", F.array_join("_tokens", " ")).alias("_general"), "_tokens")
+
+
+def templates(different: DataFrame, documents: DataFrame) -> DataFrame:
+    """_line and _template. Lines of a leaf that generalise to the same tokens, or to tokens alike at all places but one, or are linked by others that do, have one template."""
+    rows = cut(generalised(different, documents))
+    kinds = rows.groupBy("_general", "_leaf").agg(F.first("_tokens").alias("_tokens"))
+    each = F.transform("_tokens", lambda t, k: F.xxhash64(t, k))
+    kinds = kinds.withColumn("_hashes", each).withColumn("_all", F.aggregate("_hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)))
+    but_one = kinds.select("_general", "_leaf", "_all", F.posexplode("_hashes").alias("_at", "_hash")).filter(F.col("_at") >= DEPTH)
+    but_one = cut(but_one.select("_general", F.xxhash64("_leaf", "_at", F.col("_all").bitwiseXOR(F.col("_hash"))).alias("_rest")))
+    shared = cut(but_one.groupBy("_rest").agg(F.min("_general").alias("_a"), F.max("_general").alias("_b")).filter("_a != _b").select("_rest", "_a"))
+    links = join_checked(but_one, shared, "_rest", "inner", BROADCAST).filter("_a != _general").select("_a", F.col("_general").alias("_b"))
+    found = components(links).withColumnRenamed("_id", "_general")
+    return join_checked(rows.select("_line", "_general"), found, "_general", "left", BROADCAST).select("_line", F.coalesce("_component", "_general").alias("_template"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The lines to drop: _doc and _drop, their places in it."""
     found = cut(lines(docs))
-    leaves = cut(found.groupBy("_leaf", "_sketch").agg(F.lit(1).alias("_one")).groupBy("_leaf").agg(F.count("_one").alias("_n")).filter(F.col("_n") >= DOCUMENTS).select("_leaf"))
-    joined = cut(templates(cut(texts_of(docs, leaves))))
-    shared = join_checked(found, leaves, "_leaf", "left_semi", BROADCAST)
-    named = join_checked(shared, joined, "_line", "left", BROADCAST).withColumn("_template", F.coalesce("_template", "_line"))
-    by_sketch = named.groupBy("_template", "_sketch").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_same"))).alias("_first"))
-    recurring = by_sketch.groupBy("_template").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
-    recurring = cut(recurring.filter(F.col("_n") >= DOCUMENTS).select("_template", F.col("_first.doc_id").alias("_first"), F.col("_first._same").alias("_kept")))
-    gone = join_checked(named, recurring, "_template", "inner", BROADCAST).filter(~F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_same") != F.col("_kept")))
+    leaves = found.groupBy("_leaf", "_class").agg(F.lit(1).alias("_one")).groupBy("_leaf").agg(F.count("_one").alias("_n"))
+    leaves = cut(leaves.filter(F.col("_n") >= DOCUMENTS).select("_leaf"))
+    found = cut(join_checked(found, leaves, "_leaf", "left_semi", BROADCAST))
+    long = found.filter("_line != _leaf")
+    chosen = long.groupBy("_line").agg(F.min(F.struct("_doc", "_at")).alias("_first"))
+    places = cut(chosen.groupBy(F.col("_first._doc").alias("_doc")).agg(F.collect_set("_first._at").alias("_places")))
+    documents = long.groupBy("_line", "_class").agg(F.lit(1).alias("_one")).groupBy("_line").agg(F.count("_one").alias("_n"))
+    joined = cut(templates(cut(texts_of(docs, places)), cut(documents)))
+    named = join_checked(found, joined, "_line", "left", BROADCAST).withColumn("_template", F.coalesce("_template", "_line"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_class"))
+    by_class = named.groupBy("_template", "_class").agg(first.alias("_first"))
+    recurring = by_class.groupBy("_template").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
+    recurring = cut(recurring.filter(F.col("_n") >= DOCUMENTS).select("_template", F.col("_first._class").alias("_kept")))
+    gone = join_checked(named, recurring, "_template", "inner", BROADCAST).filter("_class != _kept")
     return cut(gone.groupBy("_doc").agg(F.collect_set("_at").alias("_drop")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs' rows and columns with the text, and n_chars if there is one, of what is left of it; and _lines, _dropped.
 
-    Tokens are words; those with a digit are fields. A fixed-depth tree leads by the number of tokens and the DEPTH
-    first ones to a leaf, whose templates take in lines that equal them at SIMILAR of all places, or at all of them if they
-    have fewer than SHORT tokens. A template recurs if
-    it is in DOCUMENTS or more different documents, and is dropped from all but the one with the smallest doc_id and that
-    one's copies. Documents count as different by a sketch of their other lines, and a group of copies counts as one
-    however large it is: what only copies of one document hold stays for near-duplicate removal. Equal texts keep or
-    lose the same lines, so copies stay copies.
+    Tokens are words; those with a digit are fields. A fixed-depth tree leads by the number of tokens and the DEPTH first
+    ones to a leaf. In it, tokens that fewer than DOCUMENTS documents have at their place are fields too, if these are at
+    most one place in PLACES; lines that then agree at all places, or at all but one, share a template, and so do those
+    that others link. Lines of fewer than SHORT tokens are templates of their own, digits aside. All this is counted, not
+    built line by line, so templates don't depend on an order and no task holds a leaf.
+
+    A template recurs if it is in DOCUMENTS or more different documents, and is dropped from all but the one with the
+    smallest doc_id (null last) and that one's equals. Documents are equal if their lines are, digits and all and as often,
+    in any order; so a group of equal copies counts as one however large it is, and what only they hold stays for
+    near-duplicate removal. Edited copies are different documents, and lose what they share with the first.
 
-    First, only the leaves' hashes are counted; only lines of leaves that several documents reach are parsed further,
-    each different line once. Then only the places of dropped lines meet the texts. Leaves of more than LEAF different
-    lines are split into parts that share no segment, which changes none of their templates.
+    Only lines of leaves that several documents reach are read again, each different one once, and only the places of
+    dropped lines meet the texts.
 
-    Null and empty texts and blank lines have nothing to drop. Rows with the same doc_id count as
-    one document. An empty table gives none.
+    Null and empty texts and blank lines have nothing to drop. Texts and lines of any length are taken whole. Repeated
+    rows, and rows that share a doc_id, are judged each by its own lines. Columns of docs named _lines and _dropped are
+    replaced; all others stay as they are, whatever their names. An empty table gives none.
     """
-    rows = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
+    columns = [c for c in docs.columns if c not in ("_lines", "_dropped")]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c_{c}") for c in columns), F.xxhash64("doc_id", "text").alias("_doc"))
     rows = join_checked(rows, repeated(docs), "_doc", "left", BROADCAST)
-    every = F.split("text", "\n", -1)
+    every = F.split("_c_text", "\n", -1)
     left = F.array_join(F.filter(every, lambda _, k: ~F.array_contains(F.col("_drop"), k.cast("long"))), "\n")
-    rows = rows.withColumn("_lines", F.coalesce(F.size(every), F.lit(0)).cast("long")).withColumn("_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns, "_lines", "_dropped")
+    made = {"_m_text": F.when(F.col("_drop").isNull(), F.col("_c_text")).otherwise(left)}
+    if "n_chars" in columns:
+        made["_m_n_chars"] = F.when(F.col("_drop").isNull(), F.col("_c_n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    made |= {"_m__lines": F.coalesce(F.size(every), F.lit(0)).cast("long"), "_m__dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
+    rows = rows.select(*(F.col(f"`_c_{c}`") for c in columns), *(v.alias(n) for n, v in made.items()))
+    return rows.select(*(F.col(f"`_m_{c}`" if f"_m_{c}" in made else f"`_c_{c}`").alias(c) for c in (*columns, "_lines", "_dropped")))

@@ -141,13 +141,83 @@ def test_line_dedup_short_lines(spark):
     assert all(got[k] == texts[k] for k in (10, 11))  # in two documents only
 
 
-def test_line_dedup_large_leaves(spark, monkeypatch):
+def plain_line_dedup(rows):
+    """The tree over all documents, line by line: what is left of each text."""
+    split = [[x.split() for x in (t or "").encode().split(b"\n")] for _, t in rows]
+    mask = lambda w: tuple(b"<*>" if re.search(rb"\d", x) else x for x in w)
+    kind = [tuple(sorted(b" ".join(w) for w in found if w)) for found in split]
+
+    def short(w):
+        return tuple(w) if set(mask(w)) == {b"<*>"} else mask(w)
+
+    leaves, holders = {}, {}
+    for c, found in zip(kind, split, strict=True):
+        for w in found:
+            if len(w) >= 6:
+                leaves.setdefault((len(w), mask(w)[:3]), set()).add(c)
+                holders.setdefault(mask(w), set()).add(c)
+    long = [m for m in holders if len(leaves[len(m), m[:3]]) >= 3]
+    counts = {}
+    for m in long:
+        for k, token in enumerate(m):
+            counts[len(m), m[:3], k, token] = counts.get((len(m), m[:3], k, token), 0) + len(holders[m])
+    general = {}
+    for m in long:
+        rare = [k for k, token in enumerate(m) if token != b"<*>" and counts[len(m), m[:3], k, token] < 3]
+        general[m] = tuple(b"<*>" if k in rare else x for k, x in enumerate(m)) if 5 * len(rare) <= len(m) else m
+    root = {g: g for g in general.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for m, g in general.items():
+        for k in range(3, len(g)):
+            root[find(g)] = find(by.setdefault((m[:3], k, g[:k], g[k + 1 :]), g))
+    name = lambda w: find(general[mask(w)]) if len(w) >= 6 and mask(w) in general else short(w) if len(w) < 6 else mask(w)
+    seen = {}
+    for (k, _), c, found in zip(rows, kind, split, strict=True):
+        for w in filter(None, found):
+            held = seen.setdefault(name(w), {})
+            held[c] = min(held.get(c, (True, 0)), (k is None, k or 0))
+    first = {t: min((at, c) for c, at in held.items())[0] for t, held in seen.items() if len(held) >= 3}
+    left = []
+    for (_, t), c, found in zip(rows, kind, split, strict=True):
+        texts = (t or "").split("\n")
+        left.append("\n".join(x for x, w in zip(texts, found, strict=True) if not w or name(w) not in first or seen[name(w)][c] == first[name(w)]))
+    return left
+
+
+def test_line_dedup_is_the_plain_tree(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.text or "" for r in line_dedup.dedup_lines(docs).collect()}
+    want = dict(zip((k for k, _ in rows), plain_line_dedup(rows), strict=True))
+    assert got == want and sum(got[k] != (t or "") for k, t in rows) > 20
+
+
+def test_line_dedup_fields(spark):
     lines = [f"order placed by {words_of(k, 1)} on our site today" for k in range(40)] + [f"order placed by us {words_of(k, 1)} {words_of(k + 9, 3)}" for k in range(40)]
+    lines += [f"dear friend of {('Ann', 'Bob', 'Cid')[k % 3]} your parcel left {('Rome', 'Bonn', 'Oslo', 'Kiel')[k % 4]} on that same day" for k in range(12)]
     texts = [f"{line}\n{words_of(k)}\n{words_of(k, 7)}" for k, line in enumerate(lines)]
-    whole = deduplicated_lines(spark, texts)
-    monkeypatch.setattr(line_dedup, "LEAF", 10)
-    assert deduplicated_lines(spark, texts) == whole
-    assert all(whole[k] == f"{words_of(k)}\n{words_of(k, 7)}" for k in range(1, 40)) and whole[50] == texts[50]
+    got = deduplicated_lines(spark, texts)
+    assert all(got[k] == f"{words_of(k)}\n{words_of(k, 7)}" for k in (*range(1, 40), *range(81, 92)))
+    assert got[0] == texts[0] and got[80] == texts[80] and got[50] == texts[50]
+    assert list(got.values()) == plain_line_dedup(list(enumerate(texts)))
+
+
+def test_line_dedup_clashes_and_long_texts(spark):
+    line, long = "a shared line of many plain words here", " ".join(f"v{k}x y{k % 89}" for k in range(30_000))
+    names = "doc_id long, text string, _doc long, _drop string, _lines int, _dropped int, _class string, `a.b` int, _line long, n_chars int"
+    rows = [(k, f"{line}\n{words_of(k)}", 7, "d", 1, 1, "c", 3, 9, 1) for k in range(4)] + [(9, f"{long}\n{line}", 7, "d", 1, 1, "c", 3, 9, 1), (9, None, 7, "d", 1, 1, "c", 3, 9, 1)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, names))
+    assert got.columns == ["doc_id", "text", "_doc", "_drop", "_class", "a.b", "_line", "n_chars", "_lines", "_dropped"]
+    found = {(r.doc_id, r.text): r for r in got.collect()}
+    assert set(found) == {(0, rows[0][1]), *((k, words_of(k)) for k in range(1, 4)), (9, long), (9, None)}
+    assert all((r._doc, r._drop, r._class, r["a.b"], r._line) == (7, "d", "c", 3, 9) for r in found.values())
+    assert found[9, long]._dropped == 1 and found[9, long]._lines == 2 and found[9, long].n_chars == len(long)
 
 
 def test_line_dedup_beside_copies(spark):
