@@ -62,16 +62,16 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int) ->
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 
-def prefix_sums(df: DataFrame, group: str, bucket: str, order: list, value, out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, bucket: str, order: list, value, out: str, narrow: DataFrame | None = None) -> DataFrame:
     """df with out: the sum of value over the rows of the same group that come before, by bucket and then by order.
 
     No task holds a group: rows are dealt by (group, bucket), summed up inside each bucket, and what the earlier
     buckets of the group hold is joined from the small table of bucket totals. group and bucket must not be null,
-    and df should be cheap to read twice.
+    and df should be cheap to read twice; else narrow gives the same groups, buckets and values.
     """
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(group, bucket).agg(F.sum(value).alias("_pre_total"))
+    totals = (df if narrow is None else narrow).groupBy(group, bucket).agg(F.sum(value).alias("_pre_total"))
     offsets = totals.select(group, bucket, F.coalesce(F.sum("_pre_total").over(before), F.lit(0)).alias("_pre_before"))
     rows = df.withColumn("_pre_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.join(offsets, [group, bucket]).withColumn(out, F.col("_pre_before") + F.col("_pre_inside")).drop("_pre_before", "_pre_inside")

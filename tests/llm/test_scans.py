@@ -83,6 +83,33 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def plain_schedule(rows, names, sizes, target):
+    """Whole documents in the order of their finish times, as many as the budget holds."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    turns, out = [], [(k, t) for k, t, _ in rows if not words(t)]
+    for rank, s in enumerate(names):
+        at = 0
+        for turn in range(3):
+            for k, t, _ in sorted((r for r in rows if r[2] == s and words(r[1])), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), words(r[1]))):
+                turns.append(((at + words(t)) / target[s], rank, at, k, t))
+                at += words(t)
+    left = sum(sizes.values())
+    for *_, k, t in sorted(turns, key=lambda x: x[:3]):
+        if words(t) > left:
+            return out + [(k, t)] * (2 * left >= words(t))
+        out.append((k, t))
+        left -= words(t)
+    return out
+
+
+def test_mix_long_and_clashing(spark):
+    docs = spark.createDataFrame([(1, "w " * 40_000, "a", 1), (1, "w " * 40_000, "a", 1), (None, None, None, 2), (3, "one", None, 3)], "doc_id long, text string, source string, _before int")
+    got = mixing.mix(docs).collect()
+    assert sum(r.taken for r in got) == 80_001 and all(r.taken <= 3 * r.size for r in got) and len(got) == 4
+    kept = mixing.schedule(docs)
+    assert kept.columns == docs.columns and kept.filter("_before = 2").count() == 1
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(k, "w " * rng.choice([0, 1, 5, 50, 400]), rng.choice(["b", "a", "a", "a", None, "é", "z"])) for k in range(400)] + [(400, None, "a"), (401, "x\ty\x0bz\u00a0u", "only"), (7, "w w", "a")]
@@ -109,8 +136,11 @@ def test_mix(spark):
         s = source[r.doc_id, r.size]
         assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and 0 <= r.taken <= 3 * r.size
         taken[s] = taken.get(s, 0) + r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in names) and len(got) == len(rows)
-    assert got == mixing.mix(docs.repartition(7)).collect()
+    assert all(abs(taken[s] - target[s]) <= mixing.PACKET for s in names) and len(got) == len(rows)
+    assert sum(taken.values()) == sum(sizes.values())  # the budget, to the word
+    assert sorted(got, key=repr) == sorted(mixing.mix(docs.repartition(7)).collect(), key=repr)
     mixed = mixing.schedule(docs)
     assert mixed.columns == docs.columns
+    whole = plain_schedule(rows, names, sizes, target)
+    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=repr) == sorted(whole, key=repr)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.schedule(docs.limit(0)).count() == 0
