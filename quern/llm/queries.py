@@ -40,7 +40,7 @@ def op8_source_mixing(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.SHIPPED)
 
 
 def op10_minhash_near_dedup(spark, sf_dir):

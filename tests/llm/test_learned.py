@@ -56,6 +56,67 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs.drop("lang").limit(0)).count() == 0
 
 
+def plain_measures(text):
+    """Characters per token of both vocabularies, byte-fallback share and entropy, of words encoded one by one."""
+    import sentencepiece
+    import tokenizers
+
+    library, other = sentencepiece.SentencePieceProcessor(model_file=quality_rules.default_path()), tokenizers.Tokenizer.from_file(quality_rules.word_path())
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in words for i in library.encode(w)]
+    n = sum(len(other.encode(w, add_special_tokens=False).ids) for w in words)
+    shares = [ids.count(i) / len(ids) for i in set(ids)]
+    entropy = -sum(p * np.log2(p) for p in shares) / np.log2(min(len(ids), 1024)) if len(ids) > 1 else 1.0
+    chars = sum(map(len, words))
+    return (chars / len(ids), chars / n, sum(map(library.is_byte, ids)) / len(ids), entropy) if ids else (0.0, 0.0, 0.0, 1.0)
+
+
+def test_fertility_decides(spark):
+    """kept by brute force, and each measure rejects what it is for."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 250").select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, quality_rules.SHIPPED).collect()}
+    rejected = 0
+    for r in docs.collect():
+        want = plain_measures(r.text)
+        assert np.allclose((got[r.doc_id].chars_per_token, got[r.doc_id].chars_per_word_token, got[r.doc_id].fallback_share, got[r.doc_id].token_entropy), want)
+        band = quality_rules.SHIPPED[r.lang]
+        fits = band.least <= want[0] <= band.most and band.word_least <= want[1] <= band.word_most and want[2] <= band.fallback and want[3] >= band.entropy
+        assert got[r.doc_id].kept == (fits and not plain_rules(r.text)[5])
+        rejected += not fits and not got[r.doc_id].base_failed
+    assert 250 * 0.02 < rejected < 250 * 0.2
+    rng = np.random.default_rng(6)
+    prose = next(r.text for r in docs.collect() if r.lang == "en" and got[r.doc_id].kept and got[r.doc_id].n_words > 300)
+    french = next(r.text for r in docs.collect() if r.lang == "fr" and got[r.doc_id].kept and got[r.doc_id].n_words > 300)
+    noise = " ".join("".join(rng.choice(list("qxzjkvwbpf"), 7)) for _ in range(300))
+    soup = " ".join(w + "".join(map(chr, rng.integers(0x10A0, 0x10F0, 2))) for w in prose.split()[:200])
+    dull = " ".join(rng.choice(prose.split()[:9], 400))
+    moji = " ".join(w.replace("e", "\u00c3\u00a9") for w in prose.split())
+    kinds = {"prose": prose, "french": french, "noise": noise, "soup": soup, "dull": dull, "moji": moji}
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(k, t, "en") for k, t in kinds.items()], "doc_id string, text string, lang string"), quality_rules.SHIPPED).collect()}
+    band = quality_rules.SHIPPED["en"]
+    assert {k for k, r in out.items() if r.kept} == {"prose"} and not any(r.base_failed for r in out.values())
+    assert out["noise"].chars_per_token < band.least and out["soup"].fallback_share > band.fallback and out["dull"].token_entropy < band.entropy
+    assert out["french"].chars_per_word_token < band.word_least and out["moji"].chars_per_token < band.least
+
+
+def test_shipped_bands_are_measured(spark):
+    folder = FOLDER.replace("0.01", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    measured = quality_rules.quality_rules(good).filter("NOT base_failed").join(docs.select("doc_id", "lang"), "doc_id")
+    for lang, band in quality_rules.bands_of(measured).items():
+        shipped = quality_rules.SHIPPED[lang]
+        for name in ("least", "most", "word_least", "word_most", "fallback", "entropy"):
+            assert abs(getattr(band, name) - getattr(shipped, name)) < 0.02, (lang, name)
+
+
+def test_quality_rules_rows(spark):
+    long = "word number %d " * 30_000 % tuple(range(30_000))
+    docs = spark.createDataFrame([(None, long, None), (7, "x y", "en"), (7, "x y", "en")], "doc_id long, text string, lang string")
+    got = quality_rules.quality_rules(docs).collect()
+    assert sorted(((r.doc_id or 0, r.n_words, r.kept) for r in got)) == [(0, 90_000, True), (7, 2, False), (7, 2, False)]
+
+
 def test_script_counts_whole_text():
     assert quality_rules.script("\u0434a" * 400 + "aa") == "LATIN"  # every second letter is Cyrillic
     assert quality_rules.script("1" * 500 + "\u0434" + "1" * 500) == "CYRILLIC" and quality_rules.script("12 ") == ""
