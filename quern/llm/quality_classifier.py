@@ -19,7 +19,7 @@ from .common import Memo, take_over
 SLICE = 512
 #: Features are hashed to 2 ** BITS weights.
 BITS = 18
-#: At most so many labelled documents are learnt from, those of the smallest hashes; and so many times over.
+#: The parameter sample: at most so many labelled documents are learnt from, those of the smallest hashes; and so many times over.
 SAMPLE, EPOCHS = 8000, 3
 #: FTRL-proximal's step sizes and regularisation.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.005, 0.01
@@ -82,15 +82,15 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learns from labelled documents outside of the held-out fold.
 
-    At most SAMPLE documents are taken, by a hash of their ids, and turned to features on the executors; the driver gets
-    these. Of a document with several labels the smallest counts; labels other than 0 and 1 and those without a document
+    At most sample documents are taken, by a hash of their ids, and turned to features on the executors; the driver gets
+    these part by part and keeps them packed. Of a document with several labels the smallest counts; labels other than 0 and 1 and those without a document
     do not. Without any, all weights are 0.
     """
     chosen = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("_label"))
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("values", T.BinaryType())])
 
@@ -100,9 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], names=schema.names)
 
-    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema).collect()
-    rows.sort(key=lambda r: (zlib.crc32(f"order {r.id}".encode()), r.id))
-    return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4"), r["label"]) for r in rows])
+    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema).toLocalIterator()
+    packed = sorted((zlib.crc32(f"order {r.id}".encode()), r.id, bytes(r["at"]), bytes(r["values"]), r["label"]) for r in rows)
+    return train([(np.frombuffer(at, "<i4"), np.frombuffer(values, "<f4"), label) for _, _, at, values, label in packed])
 
 
 def scored(batch: pa.RecordBatch, text: int, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -110,13 +110,14 @@ def scored(batch: pa.RecordBatch, text: int, weights: np.ndarray, bias: float) -
     return 1 / (1 + np.exp(-np.clip(np.array(sums, float) + bias, -35, 35)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score (probability of label 1), predicted (score >= threshold). One scan, no shuffle of the texts.
 
-    The score comes from the text alone; null and empty texts score the bias. Repeated rows score alike. An empty
-    table gives none.
+    sample: learns from at most so many labelled documents. The score comes from the text alone; null and empty texts
+    score the bias, texts of any length are scored whole. Repeated rows score alike; a null doc_id is not held out.
+    Other columns are not read, whatever their names. An empty table gives none.
     """
-    weights, bias = fit(docs, labels)
+    weights, bias = fit(docs, labels, sample)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +131,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows and columns, without those that the classifier rejects."""
-    weights, bias = fit(docs, labels)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """docs' rows and columns, without those that the classifier rejects. Nulls, empty and long texts, repeated rows: as classify()."""
+    weights, bias = fit(docs, labels, sample)
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

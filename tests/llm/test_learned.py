@@ -24,10 +24,56 @@ def test_classifier(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {k for k, r in got.items() if r.predicted}
 
 
+def plain_classifier(rows, texts):
+    """FTRL-proximal with dictionaries, a weight at a time, over (doc_id, label) outside of the held-out fold."""
+    import math
+    import zlib
+
+    part = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+
+    def features(text):
+        words = [("0" if p.isdigit() else p) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for p in part.findall(w)]
+        one = [zlib.crc32(w.encode()) for w in words]
+        two = [0x5EED if a == b else (a * 0x9E3779B1 ^ (b * 0x85EBCA6B + 1)) % 2**32 for a, b in zip(one, one[1:], strict=False)]
+        counts = {}
+        for h in [*(a * 0xC2B2AE35 % 2**32 for a in one), *(b * 0x27D4EB2F % 2**32 for b in two)]:
+            counts[h >> 14] = counts.get(h >> 14, 0) + 1
+        length = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        return {k: math.log1p(c) / length for k, c in counts.items()}
+
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= 0.005 else (math.copysign(0.005, z[k]) - z[k]) / ((1 + math.sqrt(n[k])) / 2 + 0.01)
+    made = [({**features(texts[k]), None: 1.0}, y) for k, y in sorted(rows, key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), str(r[0])))]
+    for _ in range(3):
+        for x, y in made:
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g, was = (p - y) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / 2 * w[k]
+                n[k] = was + g * g
+    return lambda text: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in {**features(text), None: 1.0}.items())))
+
+
+def test_classifier_is_the_plain_one(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 300")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").filter("doc_id < 300")
+    rows = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    plain = plain_classifier(rows, texts)
+    got = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    assert len(rows) > 60 and max(abs(got[k] - plain(t)) for k, t in texts.items()) < 1e-4
+    fewer = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels, sample=20).collect()}
+    assert fewer != got
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, "", "x"), (2, None, "x"), (None, "text", "x"), (2, "again", None)], "doc_id long, text string, score string")
     none = spark.createDataFrame([(1, None), (None, 1), (9, 7)], "doc_id long, quality int")
     assert [r.score for r in quality_classifier.classify(docs, none).collect()] == [0.5] * 4
+    assert quality_classifier.accepted(docs, none).columns == docs.columns and quality_classifier.accepted(docs, none).count() == 4
+    long = spark.createDataFrame([(5, "many words " * 40_000)], "doc_id long, text string")
+    assert quality_classifier.classify(long, none).first().predicted == 1
     assert quality_classifier.classify(docs.limit(0), none).count() == 0 and quality_classifier.accepted(docs.limit(0), none).count() == 0
 
 
