@@ -6,6 +6,7 @@ import json
 import math
 import string
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 
 #: (verdict, host and path): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Words that mark a host as one to block in the weak labels that stand in where no labelled URLs are given.
+#: Words that mark a host as one to block in weak_labels().
 SEEDS = ("adult", "bet", "bets", "casino", "escort", "gambling", "loans", "lottery", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
-#: At most so many labelled URLs are learnt from, those of the smallest hashes.
+#: The parameter sample: at most so many labelled URLs are learnt from, those of the smallest hashes.
 SAMPLE = 20_000
+#: URLs are dealt to so many folds by a hash; those of the first one are held out of the training.
+FOLDS = 5
 TREES, DEPTH, RATE, BINS, SHRINK = 24, 3, 0.3, 32, 1.0
 #: Rows that a suffix's statistics need before they outweigh the overall share.
 PRIOR = 10
 NUMBERS = ("length", "host_length", "labels", "depth", "digit_ratio", "entropy", "params", "hyphens")
+#: What shares of blocks are counted of: the host's last label and last two, and the path's first segment.
+SUFFIXES = ("_suffix1", "_suffix2", "_segment")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,6 +74,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "hyphens": (F.length(host) - F.length(F.replace(host, F.lit("-")))).cast("double"),
         "_suffix1": F.substring_index(host, ".", -1),
         "_suffix2": F.substring_index(host, ".", -2),
+        "_segment": F.regexp_extract(path, "^/([^/]*)/", 1),
     }
 
 
@@ -123,35 +129,66 @@ def literal_table(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def fit(labelled: DataFrame) -> tuple[float, list, dict[str, dict[str, float]], float]:
-    """Trees from labelled URLs (url, label with 1 for block), and each suffix's share of blocks, drawn to the overall share."""
+def fold(url: Column) -> Column:
+    return F.crc32(url.cast("binary")) % FOLDS
+
+
+def weak_labels(urls: DataFrame) -> DataFrame:
+    """url and label: 1 if the host has a word of SEEDS between its dots and hyphens."""
+    host, _ = parts(F.col("url"))
+    return urls.select("url", F.arrays_overlap(F.split(host, r"[.-]"), F.array(*map(F.lit, SEEDS))).cast("int").alias("label"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """first: the score without trees; shares: of blocks for each suffix, drawn to the overall share."""
+
+    first: float
+    trees: list
+    shares: dict[str, dict[str, float]]
+    overall: float
+
+
+def share(counts: list[tuple[float, int]], overall: float) -> float:
+    return (sum(b for b, _ in counts) + PRIOR * overall) / (sum(n for _, n in counts) + PRIOR)
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """Trees from labelled URLs (url, label with 1 for block) outside of the held-out fold, at most sample of them.
+
+    A suffix's share of blocks is out of fold where trees learn from it: it is counted over the URLs of all other folds,
+    so that no URL's own label is its feature. What is scored later gets the share over all folds learnt from.
+    """
     host, path = parts(F.col("url"))
-    sample = labelled.filter("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
-    rows = sorted(sample.select("url", "label", *(c.alias(n) for n, c in features(F.col("url"), host, path).items())).collect(), key=lambda r: r["url"])
+    known = labelled.filter("url IS NOT NULL AND label IS NOT NULL").withColumn("_fold", fold(F.col("url"))).filter("_fold != 0")
+    chosen = known.groupBy("url", "_fold").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample)
+    rows = sorted(chosen.select("url", "_fold", "label", *(c.alias(n) for n, c in features(F.col("url"), host, path).items())).collect(), key=lambda r: r["url"])
     y = np.array([float(r["label"]) for r in rows])
     overall = float(y.mean()) if len(y) else 0.5
-    stats: dict[str, dict[str, float]] = {}
-    for name in ("_suffix1", "_suffix2"):
-        seen = defaultdict(lambda: [0.0, 0.0])
+    shares, columns = {}, [[float(r[n]) for r in rows] for n in NUMBERS]
+    for name in SUFFIXES:
+        seen = defaultdict(lambda: [(0.0, 0)] * FOLDS)
         for r in rows:
-            seen[r[name]][0] += r["label"]
-            seen[r[name]][1] += 1
-        stats[name] = {s: (b + PRIOR * overall) / (n + PRIOR) for s, (b, n) in seen.items()}
-    x = np.array([[*(r[n] for n in NUMBERS), *(stats[n][r[n]] for n in stats)] for r in rows], float).reshape(len(rows), len(NUMBERS) + 2)
-    return *boost(x, y), stats, overall
+            b, n = seen[r[name]][r["_fold"]]
+            seen[r[name]][r["_fold"]] = (b + r["label"], n + 1)
+        columns.append([share([c for k, c in enumerate(seen[r[name]]) if k != r["_fold"]], overall) for r in rows])
+        shares[name] = {s: share(counts, overall) for s, counts in seen.items()}
+    first, trees = boost(np.array(columns, float).T.reshape(len(rows), len(columns)), y)
+    return Model(first, trees, shares, overall)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict (allow or block), block_score (probability of block by the trees).
+def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict (allow or block), block_score (probability of block by the trees), held_out.
 
     The rule that fits decides; where none fits, gradient-boosted trees on lexical features do. They learn from
-    labelled (url, label: 1 for block): at most SAMPLE different URLs, by hash. By default these are the pages' own URLs
-    with weak labels: a host with a word of SEEDS between its dots and hyphens counts as one to block. (The rules are no
-    labels: they speak of domains and paths as such, so trees would learn to block all that no rule allows.) Trees become CASE expressions, so scoring is one scan; the suffix statistics, of at most SAMPLE
-    suffixes, are broadcast.
+    labelled (url, label: 1 for block): at most sample different URLs, by hash, without those held out. By default these
+    are the pages' own URLs that a rule decides; what no rule decides is then judged by what it looks like among these.
+    weak_labels() gives others. Trees become CASE expressions, so scoring is one scan; the suffix statistics, of at most
+    sample suffixes, are broadcast.
 
     A null URL or one without :// has an empty host and path, fits no rule and is scored like an empty one. Without
-    labelled URLs all scores are 0.5, which allows. Repeated rows are judged alike. An empty table gives none.
+    labelled URLs all scores are 0.5, which allows. URLs of any length are taken whole. Repeated rows are judged alike,
+    whatever their page_id. Other columns than page_id and url are not read, whatever their names. An empty table gives none.
     """
     spark = pages.sparkSession
     host, path = parts(F.col("url"))
@@ -159,13 +196,15 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": rule, "_ruled": verdict})
     if labelled is None:
-        labelled = rows.select("url", F.arrays_overlap(F.split("host", r"[.-]"), F.array(*map(F.lit, SEEDS))).cast("int").alias("label"))
-    first, trees, stats, overall = fit(labelled)
+        labelled = rows.select("url", (F.col("_ruled") == "block").cast("int").alias("label"))
+    model = fit(labelled, sample)
     made = features(F.col("url"), F.col("host"), F.col("path"))
-    rows = rows.select("page_id", "host", "path", "rule", "_ruled", *(c.alias(f"_f_{n}") for n, c in made.items()))
-    for name, shares in stats.items():
+    held = F.coalesce(fold(F.col("url")) == 0, F.lit(False))
+    rows = rows.select("page_id", "host", "path", "rule", "_ruled", held.alias("held_out"), *(c.alias(f"_f_{n}") for n, c in made.items()))
+    for name, shares in model.shares.items():
         found = literal_table(spark, [{f"_f_{name}": s, f"_share{name}": v} for s, v in shares.items()], f"`_f_{name}` string, `_share{name}` double")
         rows = rows.join(F.broadcast(found), f"_f_{name}", "left")
-    columns = [*(F.col(f"_f_{n}") for n in NUMBERS), *(F.coalesce(F.col(f"_share{n}"), F.lit(overall)) for n in stats)]
-    score = sum((expression(t, columns) for t in trees), F.lit(first))
-    return rows.withColumn("_score", score).select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.when(F.col("_score") > 0, "block").otherwise("allow")).alias("verdict"), (1 / (1 + F.exp(-F.col("_score")))).alias("block_score"))
+    columns = [*(F.col(f"_f_{n}") for n in NUMBERS), *(F.coalesce(F.col(f"_share{n}"), F.lit(model.overall)) for n in model.shares)]
+    score = sum((expression(t, columns) for t in model.trees), F.lit(model.first))
+    judged = F.coalesce("_ruled", F.when(F.col("_score") > 0, "block").otherwise("allow"))
+    return rows.withColumn("_score", score).select("page_id", "host", "path", "rule", judged.alias("verdict"), (1 / (1 + F.exp(-F.col("_score")))).alias("block_score"), "held_out")

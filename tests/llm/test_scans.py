@@ -1,9 +1,12 @@
 """Secret scans, URL filters, mixing: against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 
 from quern.llm import mixing, secret_scan, url_filter
@@ -69,7 +72,7 @@ def test_urls(spark):
     urls = ["https://WWW.Example.COM/en/1?x=/en/", "http://a.example.com/en/", "http://b.com", "http://b.com/", "ftp://x.net/es/1#y", "http://net/fr/", "http://notnet/fr/", "http://casino-win.example.org/x", "no scheme", "", None, "://", "http://x.net?/es/", "http://x.org/a://b/c", "http://x.org/" + "a1" * 20_000]
     urls += [f"http://{h}.example.org/p/{k}" for k in range(60) for h in ("good", "casino-x")]
     pages = spark.createDataFrame([(k, u, None, "z") for k, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
-    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labelled=url_filter.weak_labels(pages)).collect()}
     assert len(got) == len(urls)
     for k, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -83,6 +86,57 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def plain_features(url, shares, overall):
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.lower()
+    query = re.search(r"\?([^#]*)", url)
+    counts = [url.count(c) / len(url) for c in set(url)]
+    entropy = round(-sum(p * math.log2(p) for p in counts), 6)
+    numbers = [len(url), len(host), host.count(".") + 1, path.count("/"), sum(c in "0123456789" for c in url) / len(url), entropy, len(query[1].split("&")) if query and query[1] else 0, host.count("-")]
+    return [*numbers, shares["_suffix1"].get(host.rpartition(".")[2], overall), shares["_suffix2"].get(".".join(host.split(".")[-2:]), overall), shares["_segment"].get(segment[1] if (segment := re.match("/([^/]*)/", path)) else "", overall)]
+
+
+def test_trees_are_the_plain_ones(spark):
+    """CASE expressions score as the trees do; and held-out URLs that rules decide are ranked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    pages = pages.unionByName(pages.limit(3))
+    got = url_filter.filter_urls(pages).collect()
+    ruled = pages.withColumns(dict(zip(("host", "path"), url_filter.parts(pages.url), strict=True)))
+    _, verdict = url_filter.ruled(url_filter.RULES, ruled.host, ruled.path)
+    model = url_filter.fit(ruled.select("url", (verdict == "block").cast("int").alias("label")))
+
+    def plain(tree, x):
+        while not isinstance(tree, float):
+            k, threshold, low, high = tree
+            tree = low if x[k] <= threshold else high
+        return tree
+
+    urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    for r in got:
+        x = plain_features(urls[r.page_id], model.shares, model.overall)
+        score = model.first + sum(plain(t, x) for t in model.trees)
+        assert abs(r.block_score - 1 / (1 + math.exp(-score))) < 1e-9
+        assert r.held_out == (zlib.crc32(urls[r.page_id].encode()) % 5 == 0) and (r.rule or r.verdict == ("block" if score > 0 else "allow"))
+    held = [(r.verdict, r.block_score) for r in got if r.held_out and r.rule]
+    bad, good = ([s for v, s in held if v == w] for w in ("block", "allow"))
+    auc = sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good)
+    print("held-out AUC", auc, len(held), {v: sum(r.rule is None and r.verdict == v for r in got) for v in ("block", "allow")})
+    assert auc > 0.8
+    assert len(got) == len(urls) + 3  # repeated rows are judged alike
+    assert len({(r.page_id, r.verdict, r.block_score) for r in got}) == len(urls)
+
+
+def test_suffixes_out_of_fold(spark):
+    """A suffix that only one URL has tells nothing of its own label."""
+    rows = [(f"http://h{k}.s{k}/{k % 7}", k % 2) for k in range(400)]
+    model = url_filter.fit(spark.createDataFrame(rows, "url string, label int"))
+    scores = [model.first + sum(url_filter.apply(t, np.array([plain_features(u, model.shares, model.overall)]))[0] for t in model.trees) for u, _ in rows]
+    assert len(model.shares["_suffix1"]) > 200 and np.ptp(scores) < 3
+    few = url_filter.fit(spark.createDataFrame(rows, "url string, label int"), sample=50)
+    assert len(few.shares["_suffix1"]) == 50
+
+
 def plain_schedule(rows, names, sizes, target):
     """Whole documents in the order of their finish times, as many as the budget holds."""
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
