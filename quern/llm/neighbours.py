@@ -9,13 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, spread
+
 #: Vectors that the rotation and the radius are learnt from, those of the smallest hashes; and their queries.
 SAMPLE, TRIALS = 4096, 256
 #: Share of the true neighbours that the radius must reach within the sample.
-REACH = 0.97
-#: Rows of a shard of the index, and queries of a block.
-SHARD, BLOCK = 16_384, 4096
+REACH = 0.94
+#: Bytes of a shard's vectors, and queries of a block.
+HELD, BLOCK = 8 * 2**20, 16_384
+#: Bits of a substring: as many as tell a shard's rows apart, between these.
+NARROW, WIDE = 8, 16
 ROUNDS = 30
+#: Different lengths of vectors that a table may have.
+LENGTHS = 16
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -25,7 +31,8 @@ class Codes:
     def __init__(self, sample: np.ndarray, bits: int = 64):
         self.bits = min(bits, sample.shape[1])
         self.mean = sample.mean(axis=0)
-        _, axes = np.linalg.eigh(np.cov((sample - self.mean).T.reshape(sample.shape[1], -1)).reshape(sample.shape[1], -1))
+        flat = sample - self.mean
+        _, axes = np.linalg.eigh(flat.T @ flat / len(sample))
         axes = axes[:, ::-1][:, : self.bits]
         flat = (sample - self.mean) @ axes
         turn = np.linalg.qr(np.random.default_rng(7).normal(size=(self.bits, self.bits)))[0]
@@ -33,14 +40,22 @@ class Codes:
             u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         self.turn = axes @ turn
-        #: The bits of each substring.
-        self.parts = [p.tolist() for p in np.array_split(np.arange(self.bits), max(1, self.bits // 8))]
 
     def signs(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors - self.mean) @ self.turn > 0
 
-    def radius(self, sample: np.ndarray, k: int) -> int:
-        """The least radius within which the sample's queries find the share REACH of their k nearest."""
+    def parts(self, rows: int) -> list[np.ndarray]:
+        """The bits of each substring of an index of so many rows."""
+        width = min(max(int(rows - 1).bit_length(), NARROW), WIDE)
+        return np.array_split(np.arange(self.bits), -(-self.bits // width))
+
+    def radius(self, sample: np.ndarray, k: int, rows: int) -> int:
+        """The least radius within which the sample's queries find the share REACH of their nearest.
+
+        The k nearest among rows are as near as the nearest k * sample / rows of the sample, so the radius falls as
+        the table grows.
+        """
+        k = max(1, -(-k * len(sample) // rows))
         if len(sample) <= k + 1:
             return self.bits
         signs, queries = self.signs(sample), np.arange(min(TRIALS, len(sample)))
@@ -52,31 +67,36 @@ class Codes:
 
 
 class Index:
-    """A shard of the index: for each substring, the postings of each value as a bitmap over the shard's rows."""
+    """A shard of the index: for each substring, the postings of each value. tally counts rows met, probed and within."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
         self.codes, self.ids, self.vectors = codes, ids, vectors
+        self.parts = codes.parts(len(ids))
         signs = codes.signs(vectors)
         self.packed = np.packbits(signs, axis=1)
         self.postings = []
-        for part in codes.parts:
+        for part in self.parts:
             value = self.value(signs, part)
-            bits = np.zeros((2 ** len(part), len(ids)), bool)
-            bits[value, np.arange(len(ids))] = True
-            self.postings.append(np.packbits(bits, axis=1))
-        self.balls: dict[tuple[int, int], np.ndarray] = {}
+            self.postings.append((np.argsort(value, kind="stable"), np.searchsorted(np.sort(value), np.arange(2 ** len(part) + 1))))
+        #: For each width of a substring, all differences of two values, those of fewest bits first, and where each number of bits ends.
+        self.masks = {}
+        for width in {len(p) for p in self.parts}:
+            bits = np.bitwise_count(np.arange(2**width))
+            self.masks[width] = np.argsort(bits, kind="stable"), np.cumsum(np.bincount(bits))
+        self.tally = np.zeros(3, np.int64)
 
     @staticmethod
-    def value(signs: np.ndarray, part: list[int]) -> np.ndarray:
+    def value(signs: np.ndarray, part: np.ndarray) -> np.ndarray:
         return signs[:, part] @ (1 << np.arange(len(part)))
 
-    def ball(self, j: int, radius: int) -> np.ndarray:
-        """For each value of substring j, the postings of all values within the radius."""
-        if (j, radius) not in self.balls:
-            n = len(self.postings[j])
-            apart = np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n))
-            self.balls[j, radius] = np.stack([np.bitwise_or.reduce(self.postings[j][apart[v] <= radius], axis=0) for v in range(n)])
-        return self.balls[j, radius]
+    def probe(self, j: int, value: int, radius: int) -> np.ndarray:
+        """The rows whose substring j differs from value in at most radius bits: the postings of each such value."""
+        order, starts = self.postings[j]
+        masks, ends = self.masks[len(self.parts[j])]
+        values = value ^ masks[: ends[min(radius, len(ends) - 1)]]
+        first, sizes = starts[values], starts[values + 1] - starts[values]
+        first, sizes = first[sizes > 0], sizes[sizes > 0]
+        return order[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
     def within(self, values: list[int], code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code differs from the query's in at most radius bits.
@@ -84,30 +104,42 @@ class Index:
         Substring j is probed up to r_j with the sum of r_j + 1 equal to radius + 1: were every substring farther away
         than that, the codes would differ in more than radius bits.
         """
-        m = len(values)
-        each, more = divmod(min(radius, self.codes.bits) + 1, m)
-        found = np.zeros(self.postings[0].shape[1], np.uint8)
+        each, more = divmod(min(radius, self.codes.bits) + 1, len(values))
+        found = np.zeros(len(self.ids), bool)
         for j, v in enumerate(values):
             if (r := each - 1 + (j < more)) >= 0:
-                found |= self.ball(j, r)[v]
-        rows = np.flatnonzero(np.unpackbits(found, count=len(self.ids)))
-        return rows[np.bitwise_count(self.packed[rows] ^ code).sum(axis=1) <= radius]
+                found[self.probe(j, v, r)] = True
+        probed = np.flatnonzero(found)
+        rows = probed[np.bitwise_count(self.packed[probed] ^ code).sum(axis=1) <= radius]
+        self.tally += (len(self.ids), len(probed), len(rows))
+        return rows
+
+    def scores(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the rows that may be among the k nearest, and their scores.
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        A product of matrices adds up in an order that depends on a row's place, so what it leaves is scored again row
+        by row: equal vectors have equal scores, wherever they are.
+        """
+        if len(rows) > k:
+            rough = self.vectors[rows] @ query
+            room = 1e-12 * (1 + np.abs(self.vectors[rows]).max() * np.abs(query).sum())
+            rows = rows[rough >= np.partition(rough, -k)[-k] - room]
+        return rows, np.multiply(self.vectors[rows], query).sum(axis=1)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, radius: int, k: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The k nearest within the radius, which is widened until it holds least rows."""
         signs = self.codes.signs(queries)
         codes = np.packbits(signs, axis=1)
-        values = np.stack([self.value(signs, p) for p in self.codes.parts], axis=1).tolist()
+        values = np.stack([self.value(signs, p) for p in self.parts], axis=1).tolist()
         for q, query, code, value in zip(query_ids, queries, codes, values, strict=True):
             r = radius
             while True:
                 rows = self.within(value, code, r)
                 rows = rows[self.ids[rows] != q]
-                if len(rows) >= k or r >= self.codes.bits:
+                if len(rows) >= least or r >= self.codes.bits:
                     break
                 r += 4
-            scores = self.vectors[rows] @ query
-            if len(rows) > k:
-                rows, scores = rows[keep := scores >= np.partition(scores, -k)[-k]], scores[keep]
+            rows, scores = self.scores(rows, query, k)
             best = np.lexsort((self.ids[rows], -scores))[:k]
             yield q, self.ids[rows][best], scores[best]
 
@@ -115,37 +147,50 @@ class Index:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row whose id every divides, by inner product.
 
-    Codes are learnt from at most SAMPLE vectors, and so is the Hamming radius that reaches REACH of their neighbours;
-    neighbours are nearer among all rows, so this errs to the safe side. Every row is indexed: rows are dealt to shards
-    of about SHARD rows, and each block of queries meets each shard once. Inside, substrings of the codes are indexed,
-    probing by the pigeonhole principle finds every code within the radius, and their original vectors are ranked in
-    double precision. A shard in which a query finds fewer than k widens the radius, up to all its rows.
+    Codes are learnt from at most SAMPLE vectors, and so is the Hamming radius that reaches REACH of the neighbours.
+    Every row is indexed: rows are dealt to shards of HELD bytes, and each block of queries meets each shard once. Inside,
+    substrings of the codes are indexed, probing by the pigeonhole principle finds every code within the radius, and their
+    original vectors are ranked in double precision. A shard in which a query finds too few for k in all widens the
+    radius, up to all its rows.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
-    length isn't the most common one or whose id is null. Ties go to the smaller id. Rows with the query's id are its
-    own. An empty table gives none.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    Vectors of different lengths have no inner product: each length is searched by itself, and more than LENGTHS lengths
+    are an error. Ties go to the smaller id. Rows with the query's id are its own; repeated ids among the rest are
+    ranked one by one. Other columns are not read, whatever their names. An empty table gives none.
     """
     spark = vectors.sparkSession
     v = F.col("_v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("_id"), F.col(column).cast("array<double>").alias("_v")).filter("_id IS NOT NULL AND size(_v) > 0").filter(sound)
-    sizes = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("_v") == sizes[0]["n"])
-    n = sizes[0]["count"]
+    sizes = {r["n"]: r["count"] for r in rows.groupBy(F.size("_v").alias("n")).count().limit(LENGTHS + 1).collect()}
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors have more than {LENGTHS} different lengths")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [alike(rows.filter(F.size("_v") == n), sizes[n], n, k, every) for n in sorted(sizes)]
+    for one in found:
+        out = one if len(found) == 1 else out.unionByName(one)
+    return out
+
+
+def alike(rows: DataFrame, n: int, length: int, k: int, every: int) -> DataFrame:
+    """search() over n rows _id, _v of one length."""
+    spark = rows.sparkSession
     sample = np.array([r["_v"] for r in rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()], float)
     codes = Codes(sample)
-    radius = codes.radius(sample, k)
-    shards, blocks = -(-n // SHARD), max(1, -(-n // every // BLOCK))
+    radius = codes.radius(sample, k, n)
+    shards = -(-n * length * 8 // HELD)
+    queries = cut(rows.filter(F.col("_id") % every == 0))
+    asked = queries.count()
+    blocks = max(1, -(-asked // BLOCK), min(-(-asked // 512), -(-spread(spark) // shards)))
+    least = -(-k // shards)
     index = rows.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards).cast("long"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.filter(F.col("_id") % every == 0).withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    queries = queries.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         shard = Index(codes, rows["_id"].to_numpy(), np.stack(rows["_v"].to_list()).astype(float))
-        found = list(shard.search(queries["_id"].to_numpy(), np.stack(queries["_v"].to_list()).astype(float), radius, k))
+        found = list(shard.search(queries["_id"].to_numpy(), np.stack(queries["_v"].to_list()).astype(float), radius, k, least))
         return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
     near = index.groupBy("_shard", "_block").cogroup(queries.groupBy("_shard", "_block")).applyInPandas(meet, OUT)

@@ -200,10 +200,76 @@ def test_index_finds_all_within_radius(radius):
     signs = codes.signs(x)
     packed = np.packbits(signs, axis=1)
     for q in range(0, 500, 25):
-        values = [int(index.value(signs[q : q + 1], p)[0]) for p in codes.parts]
+        values = [int(index.value(signs[q : q + 1], p)[0]) for p in index.parts]
         assert index.within(values, packed[q], radius).tolist() == np.flatnonzero((signs != signs[q]).sum(axis=1) <= radius).tolist()
 
 
+def recall(found, x, k=20):
+    """found: neighbours by query; x: all vectors, by id."""
+    hit = 0
+    for q, near in found.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len(near & set(np.argsort(-scores)[:k].tolist()))
+    return hit / k / len(found)
+
+
+def shares(x, k=20):
+    """What part of the rows queries probe, and what part is within their radius."""
+    codes = neighbours.Codes(x[:: max(1, len(x) // neighbours.SAMPLE)])
+    index = neighbours.Index(codes, np.arange(len(x)), x)
+    found = {q: set(i.tolist()) for q, i, _ in index.search(np.arange(0, len(x), 20), x[::20], codes.radius(x[: neighbours.SAMPLE], k, len(x)), k, k)}
+    met, probed, within = index.tally
+    return recall(found, x, k), probed / met, within / met
+
+
+def test_recall_on_shipped_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r.embedding for r in vectors.orderBy("vec_id").collect()], float)
+    found = {}
+    for r in neighbours.search(vectors).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    got, (_, probed, within) = recall(found, x), shares(x)
+    print("neighbours: recall, probed, within", got, probed, within)
+    assert got >= 0.9 and set(found) == set(range(0, len(x), 20)) and within < 0.35
+
+
+def test_index_selects_where_vectors_have_structure():
+    """Vectors around many centres: the index meets a small share of the rows, and it falls as rows grow."""
+    rng, last = np.random.default_rng(5), 1.0
+    centres = rng.normal(size=(400, 64))
+    for n in (2000, 16_000):
+        x = centres[np.arange(n) % 400] + 0.25 * rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        got, probed, _ = shares(x, min(20, n // 400 - 1))
+        print("clusters: rows, recall, probed", n, got, probed)
+        assert got >= 0.9 and probed < last
+        last = probed
+    assert last < 0.1
+
+
+def test_equal_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(37, 24))
+    rows = [(k, x[k % 37].tolist()) for k in rng.permutation(400).tolist()] + [(41, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by = {}
+    for r in neighbours.search(df, k=30).collect():
+        by.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    again = neighbours.search(df.repartition(5), k=30)
+    assert {tuple(r) for r in again.collect()} == {(q, k, i, -s) for q, near in by.items() for k, s, i in near}
+    for q, near in by.items():
+        near.sort()
+        assert [(s, i) for _, s, i in near] == sorted((s, i) for _, s, i in near)
+        same = [i for _, s, i in near if i % 37 == q % 37 and not (i == 41 and rows[-1][1] != x[i % 37].tolist())]
+        assert all(s == near[0][1] for _, s, i in near if i in same and i % 37 == near[0][2] % 37)
+    assert sum(i == 41 for near in by.values() for _, _, i in near) > 0
+    mixed = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0]), (1, [2.0, 2.0]), (2, [3.0]), (3, [1.0] * 3)], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in neighbours.search(mixed).collect()) == [(0, 1, 6.0), (20, 2, 3.0)]
+    with pytest.raises(ValueError):
+        neighbours.search(spark.createDataFrame([(k, [1.0] * (k + 1)) for k in range(20)], "vec_id long, embedding array<double>"))
+
+
 def test_line_dedup(spark):
     unique = lambda k: " ".join(f"w{chr(97 + (k * 7 + j) % 26)}{chr(97 + (k + j * j) % 26)}x" for j in range(9))
     line, passage = "this page was printed on 2024-01-02 at noon", "a shared passage of many plain words that several pages hold in common"
