@@ -82,7 +82,8 @@ def pack(docs: DataFrame, limit: int = 2048, path: str | None = None, end: int =
     pieces share is dealt over many tasks. The plan has a few runs per length, whatever the number of pieces.
 
     A null text counts as empty: it is one piece, the end token. Repeated rows are packed as often as they come.
-    Pieces of equal length take slots by doc_id and piece; ties are interchangeable. An empty table gives none.
+    Pieces of equal length take slots by doc_id and piece; ties are interchangeable. Texts of any length are encoded
+    whole, and a null doc_id is one like others. Other columns are not read, whatever their names. An empty table gives none.
     """
     spark = docs.sparkSession
     found = cut(pieces(docs, limit, path or default_path(), end, text))

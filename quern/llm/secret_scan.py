@@ -176,7 +176,9 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     if they are seen to be few; else both sides are shuffled by doc_id.
 
     Null texts count as empty. Rows with the same doc_id share their candidates, and each is verified on its own text;
-    rows without a doc_id are verified by every rule. Starts and ends are code points. An empty table gives none.
+    rows without a doc_id are verified by every rule. Starts and ends are code points. Texts of any length are scanned
+    whole. Repeated rows give repeated results; equal starts are ties, listed in the order of the rules. Other columns are
+    not read, whatever their names. An empty table gives none.
     """
     rules = [*base, *more]
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALWAYS}

@@ -21,7 +21,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None, te
 
     path: the vocabulary's file, as tokenizers reads it; every executor must have it. Counts equal the library's,
     without added begin or end tokens; special strings inside a text count as one token each.
-    Null and empty texts have 0 bytes and tokens. Rows are independent: repeated rows give repeated results, an
+    Null and empty texts have 0 bytes and tokens; texts of any length are counted whole. Rows are independent: repeated rows give repeated results, an
     empty table an empty one. Other columns are not read, whatever their names.
     """
     path = path or default_path()

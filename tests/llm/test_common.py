@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -36,3 +37,30 @@ def test_checked_joins(spark):
         plan = common.join_checked(left, right, "k", "left_semi", rows)
         assert plan.count() == 25
         assert ("broadcast" in plan._jdf.queryExecution().analyzed().toString().lower()) == (rows == 100)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.range(20).select("id", F.array_repeat(F.lit(1), 100).alias("a"), F.repeat(F.lit("x"), 50).alias("s"))
+    assert common.small(df, 20, 20 * (8 + 808 + 58)) and not common.small(df, 20, 20 * (8 + 808 + 58) - 1)
+    assert common.small(df.limit(0), 0)
+
+
+def test_session_settings(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.newSession()
+    assert common.tuned(own).conf.get(key) == str(common.ARROW_ROWS)
+    own.conf.set(key, "10000")
+    assert common.tuned(own).conf.get(key) == "10000"
+
+
+def test_cluster_without_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)

@@ -1,13 +1,16 @@
 """The quality classifier, quality rules, nearest neighbours, line dedup and the pipeline."""
 
+import glob
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import line_dedup, neighbours, quality_classifier, quality_rules
+from quern.llm import common, line_dedup, neighbours, quality_classifier, quality_rules
+from quern.llm.common import cut
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -430,3 +433,21 @@ def test_pipeline(spark):
     for r in out.collect():
         by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
     assert max(by.values()) <= 2048 and sum(by.values()) / 2048 / len(by) > 0.9
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() gives what its stages give one after the other, on rows with nulls, repeats, long texts and more columns, and leaves no folder."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 120").withColumns({"_doc": F.lit(1), "kept": F.lit("x"), "_before": F.lit(2.0)})
+    long = docs.filter("doc_id = 3").withColumns({"doc_id": F.lit(500).cast("long"), "text": F.repeat("text", 60)})
+    odd = docs.limit(3).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.unionByName(docs.limit(4)).unionByName(long).unionByName(odd).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    left, folder = spark.read.parquet(f"{tmp_path}/documents.parquet"), common.shared_folder(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before, left = left, cut(stage(spark, left, str(tmp_path)))
+        if name != "best-fit packing":
+            assert left.columns == before.columns and left.count() > 0
+    rows = lambda df: sorted(map(tuple, df.drop("sequence_id", "offset").collect()), key=repr)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows(got) == rows(left) and got.columns == left.columns
+    assert not glob.glob(f"{folder.removeprefix('file:')}/pipeline-*")
