@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import identifier
@@ -41,14 +42,22 @@ def is_deleted(value: Column) -> Column:
     return F.coalesce(value.cast("string") != "", F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder that all executors share, as spark.checkpoint.dir names it; only a session on one machine may go without and gets its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-"))
+
+
 def iterate(frontier: DataFrame, step) -> DataFrame:
     """All rows that step reaches from frontier, which stay distinct: a semi-naive closure that ends on cycles too.
 
     Each round joins only what is new, and is written to the checkpoint folder, so that plans stay short.
     """
-    context = frontier.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frontier.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    shared_folder(frontier.sparkSession)
     frontier = frontier.distinct().checkpoint()
     settled = [frontier]
     while True:
