@@ -110,7 +110,8 @@ def plain_measures(text):
     import sentencepiece
     import tokenizers
 
-    library, other = sentencepiece.SentencePieceProcessor(model_file=quality_rules.default_path()), tokenizers.Tokenizer.from_file(quality_rules.word_path())
+    library = sentencepiece.SentencePieceProcessor(model_file=quality_rules.default_path())
+    other = tokenizers.Tokenizer.from_file(quality_rules.byte_path().replace(".tiktoken", ".json"))
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     ids = [i for w in words for i in library.encode(w)]
     n = sum(len(other.encode(w, add_special_tokens=False).ids) for w in words)
@@ -127,9 +128,9 @@ def test_fertility_decides(spark):
     rejected = 0
     for r in docs.collect():
         want = plain_measures(r.text)
-        assert np.allclose((got[r.doc_id].chars_per_token, got[r.doc_id].chars_per_word_token, got[r.doc_id].fallback_share, got[r.doc_id].token_entropy), want)
+        assert np.allclose((got[r.doc_id].chars_per_token, got[r.doc_id].chars_per_byte_token, got[r.doc_id].fallback_share, got[r.doc_id].token_entropy), want)
         band = quality_rules.SHIPPED[r.lang]
-        fits = band.least <= want[0] <= band.most and band.word_least <= want[1] <= band.word_most and want[2] <= band.fallback and want[3] >= band.entropy
+        fits = band.least <= want[0] <= band.most and band.byte_least <= want[1] <= band.byte_most and want[2] <= band.fallback and want[3] >= band.entropy
         assert got[r.doc_id].kept == (fits and not plain_rules(r.text)[5])
         rejected += not fits and not got[r.doc_id].base_failed
     assert 250 * 0.02 < rejected < 250 * 0.2
@@ -145,7 +146,7 @@ def test_fertility_decides(spark):
     band = quality_rules.SHIPPED["en"]
     assert {k for k, r in out.items() if r.kept} == {"prose"} and not any(r.base_failed for r in out.values())
     assert out["noise"].chars_per_token < band.least and out["soup"].fallback_share > band.fallback and out["dull"].token_entropy < band.entropy
-    assert out["french"].chars_per_word_token < band.word_least and out["moji"].chars_per_token < band.least
+    assert out["french"].chars_per_byte_token < band.byte_least and out["moji"].chars_per_token < band.least
 
 
 def test_shipped_bands_are_measured(spark):
@@ -155,7 +156,7 @@ def test_shipped_bands_are_measured(spark):
     measured = quality_rules.quality_rules(good).filter("NOT base_failed").join(docs.select("doc_id", "lang"), "doc_id")
     for lang, band in quality_rules.bands_of(measured).items():
         shipped = quality_rules.SHIPPED[lang]
-        for name in ("least", "most", "word_least", "word_most", "fallback", "entropy"):
+        for name in ("least", "most", "byte_least", "byte_most", "fallback", "entropy"):
             assert abs(getattr(band, name) - getattr(shipped, name)) < 0.02, (lang, name)
 
 
