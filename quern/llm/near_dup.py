@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,8 @@ from .common import Memo, cut, join_checked, small, take_over
 
 SLICE = 512
 #: Coordinates of a signature, and how many of them two documents must share to be compared. lost() says how likely a link
-#: has fewer: at the similarity 0.8, less than once in a billion.
-COORDINATES, MATCHES = 64, 30
+#: has fewer: at the similarity 0.8, twice in a hundred million.
+COORDINATES, MATCHES = 64, 32
 #: Members of a list that are held at once, and rows that are broadcast.
 BLOCK, BROADCAST = 1024, 200_000
 #: Members that meet one copy of a star, and links that are merged at once.
@@ -186,12 +186,13 @@ def components(links: DataFrame, held: int = HELD, trace: list | None = None) ->
 
 
 def posted(classes: DataFrame, matches: int) -> DataFrame:
-    """Inverted lists _key, _id, _central: each class under the rarest of its coordinate-value pairs.
+    """Inverted lists _key, _id, _central, _mask: each class under the rarest of its coordinate-value pairs.
 
     Two signatures with at least matches pairs in common share one of the rarest COORDINATES - matches + 1 of either, so
     a class is posted under these only: the pairs that many documents hold come last and their long lists are skipped.
     Pairs that no other class holds need no list, and classes that share fewer than matches pairs with others at all
     are left out. _central: how widely the class's pairs are shared, larger the more of the list it resembles.
+    _mask: the coordinates that the class is posted under, as bits.
     """
     every = classes.select("_id", F.posexplode("_sig").alias("_k", "_value"))
     every = every.select("_id", (F.col("_k").cast("long") * F.lit(2**32) + F.col("_value")).alias("_key"))
@@ -199,7 +200,15 @@ def posted(classes: DataFrame, matches: int) -> DataFrame:
     own = every.join(shared, "_key").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_df", "_key"))).alias("_pairs"), F.sum("_df").alias("_central"))
     own = own.filter(F.size("_pairs") >= matches)
     rare = F.slice("_pairs", F.lit(1), F.size("_pairs") - F.lit(matches - 1))
-    return own.select("_id", "_central", F.explode(rare).alias("_pair")).select("_id", "_central", F.col("_pair._key").alias("_key"))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(p["_key"]).cast("int"))
+    mask = F.aggregate(rare, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(bit(p)))
+    own = own.select("_id", "_central", mask.alias("_mask"), F.explode(rare).alias("_pair"))
+    return own.select("_id", "_central", "_mask", F.col("_pair._key").alias("_key"))
+
+
+def coordinate(key: Column) -> Column:
+    """The coordinate of a coordinate-value pair; values are signed."""
+    return F.floor((key + F.lit(2**31)) / F.lit(2**32))
 
 
 def alike(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -256,28 +265,36 @@ def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFram
     leave are fetched; these decide inside the task, and only a spanning forest of the links leaves it: fewer rows than
     members, however many are alike.
     """
-    held = lists.join(labels, "_id", "left").select("_key", "_id", F.coalesce("_component", "_id").alias("_component"))
+    held = lists.join(labels, "_id", "left").select("_key", "_id", "_mask", F.coalesce("_component", "_id").alias("_component"))
     open_ = held.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low != _high")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("long")
-    rows = cut(held.join(open_, "_key").withColumn("_blocks", blocks).select("_key", "_id", "_component", "_blocks", F.pmod(F.xxhash64("_id"), F.col("_blocks")).alias("_block")))
+    rows = cut(held.join(open_, "_key").withColumn("_blocks", blocks).select("_key", "_id", "_mask", "_component", "_blocks", F.pmod(F.xxhash64("_id"), F.col("_blocks")).alias("_block")))
     rows = rows.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    rows = rows.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_id", "_component")
+    rows = rows.select("_key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_id", "_mask", "_component")
     rows = rows.join(classes.select("_id", "_sig", F.col("n_shingles").alias("_size")), "_id")
     places = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_key", "_i", "_j")), T.StructField("_id", T.BinaryType())])
     schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
 
     def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of rows with different labels whose signatures and sizes are near enough."""
+        """The pairs of rows with different labels whose signatures and sizes are near enough.
+
+        A pair is due in one list only, that of the first coordinate under which both are posted with the same value.
+        """
         sigs = table.column("_sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, COORDINATES)
         label = table.column("_component").combine_chunks().dictionary_encode().indices.to_numpy()
-        block, size = (table.column(c).to_numpy() for c in ("_block", "_size"))
+        block, size, mask = (table.column(c).to_numpy() for c in ("_block", "_size", "_mask"))
+        bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
+        here = (table.column("_key")[0].as_py() + 2**31) >> 32
         across, found = table.column("_i")[0].as_py() != table.column("_j")[0].as_py(), []
         for k in range(table.num_rows - 1):
             near = (label[k + 1 :] != label[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
             if across:
                 near &= block[k + 1 :] != block[k]
             other = np.flatnonzero(near) + k + 1
-            other = other[(sigs[other] == sigs[k]).sum(axis=1) >= matches]
+            same = sigs[other] == sigs[k]
+            at = same.sum(axis=1) >= matches
+            other, same = other[at], same[at]
+            other = other[(same & bits[other] & bits[k]).argmax(axis=1) == here]
             if len(other):
                 found.append((np.full(len(other), k), other))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
@@ -356,7 +373,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, matches: int
     Classes are linked when their sets' similarity is percent or more, on whole sets. Each inverted list's members are
     compared with three of them first, the most central one and two others, so that a large group is linked without
     its pairs; then what is not linked yet is compared block by block, so no link between different texts is lost but for
-    those below matches collisions: lost(matches, percent) of those at the threshold, 1e-9 by default, fewer above it.
+    those below matches collisions: lost(matches, percent) of those at the threshold, 2e-8 by default, fewer above it.
     A smaller matches loses fewer and posts each class under more pairs (COORDINATES - matches + 1).
 
     Null, empty and blank texts have no shingles and link with nothing. Texts of any length are taken whole. Repeated
