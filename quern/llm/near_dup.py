@@ -170,19 +170,19 @@ def components(links: DataFrame, held: int = HELD, trace: list | None = None) ->
     below it are; the number of rounds grows with the logarithm of the longest way, whatever the order of ids. Before that
     each task merges what it holds. Every round is written to the checkpoint folder; trace takes in the links of each.
     """
-    edges = cut(merged(links.filter("_a != _b"), held).distinct())
+    edges = cut(merged(links.filter("_a != _b").select("_a", "_b").distinct(), held))
     while True:
-        ends = edges.select(F.col("_b").alias("_id"), F.lit(1).alias("_up"), F.lit(0).alias("_down")).union(edges.select("_a", F.lit(0), F.lit(1)))
+        ends = edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_up"), F.lit(False).alias("_down")).union(edges.select("_a", F.lit(None), F.lit(True)))
         if trace is not None:
             trace.append(edges.count())
-        if ends.groupBy("_id").agg(F.sum("_up").alias("_up"), F.max("_down").alias("_down")).filter("_up > 1 OR (_up = 1 AND _down = 1)").isEmpty():
-            return cut(edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_component")).union(edges.select("_a", "_a").distinct()))
+        ends = ends.groupBy("_id").agg(F.min("_up").alias("_low"), F.max("_up").alias("_high"), F.bool_or("_down").alias("_down"))
+        if ends.filter("_low != _high OR (_low IS NOT NULL AND _down)").isEmpty():
+            return cut(edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_component")).union(edges.select("_a", "_a")).distinct())
         least = cut(edges.groupBy(F.col("_b").alias("_a")).agg(F.min("_a").alias("_least")))
-        large = join_checked(edges, least, "_a", "left", BROADCAST).select(F.coalesce("_least", "_a").alias("_a"), "_b").distinct()
-        large = cut(large)
+        large = cut(join_checked(edges, least, "_a", "left", BROADCAST).select(F.coalesce("_least", "_a").alias("_a"), "_b"))
         least = cut(large.groupBy("_b").agg(F.min("_a").alias("_least")))
         below = large.join(least, "_b").filter("_a != _least").select(F.col("_least").alias("_a"), F.col("_a").alias("_b"))
-        edges = cut(merged(below.union(least.select("_least", "_b")), held).distinct())
+        edges = cut(merged(below.union(least.select("_least", "_b")).distinct(), held))
 
 
 def posted(classes: DataFrame, matches: int) -> DataFrame:
