@@ -46,7 +46,7 @@ def pluralize(c: Column) -> Column:
 
 
 def singularize(c: Column) -> Column:
-    return F.when(c.endswith("ies"), F.regexp_replace(c, "ies$", "y")).when(c.endswith("ss"), c).when(c.endswith("s"), F.regexp_replace(c, "s$", "")).otherwise(c)
+    return F.when(c.endswith("ies") & (F.length(c) > 3), F.regexp_replace(c, "ies$", "y")).when(c.endswith("ss"), c).when(c.endswith("s"), F.regexp_replace(c, "s$", "")).otherwise(c)
 
 
 #: A number as a strict parser takes it: no blanks around.

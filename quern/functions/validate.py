@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import is_numeric, loose_compare, loose_equal, number, parse_timestamp
 
@@ -51,9 +52,11 @@ def is_kind(v: Column, kind: str) -> Column:
     if kind == "date":
         return parse_timestamp(v).isNotNull()
     if kind in ("boolean", "bool"):
-        return v.isin("true", "false", "1", "0")
+        return v.isin("1", "0")
     if kind in ("number", "float"):
         return is_numeric(v)
+    if kind == "integer":
+        return v.rlike(PATTERNS["integer"]) & v.try_cast("bigint").isNotNull()
     if kind == "array":
         return v.rlike(r"^\s*\[")
     if kind == "ip":
@@ -61,8 +64,13 @@ def is_kind(v: Column, kind: str) -> Column:
     return v.rlike(PATTERNS[kind]) if kind in PATTERNS else F.lit(True)  # an unknown name passes
 
 
-def check(field: str, name: str, args: list[str], now: Column | None = None) -> Column:
-    """Whether a row meets one rule."""
+def whole(text: str) -> int:
+    """A bound; 0 if it is no whole number."""
+    return int(text) if re.fullmatch(r"[+-]?[0-9]+", text.strip()) else 0
+
+
+def check(field: str, name: str, args: list[str], now: Column | None = None, kind: T.DataType | None = None) -> Column:
+    """Whether a row meets one rule. kind: the field's type, if it is known; arrays and maps are measured by their elements."""
     v = F.col(field).cast("string")
     lits = [F.lit(a) for a in args]
     other = F.col(args[0]).cast("string") if args and re.fullmatch(r"\w+", args[0]) and not args[0].isdigit() else None
@@ -94,10 +102,11 @@ def check(field: str, name: str, args: list[str], now: Column | None = None) ->
         inside = (loose_compare(v, lits[0]) >= 0) & (loose_compare(v, lits[1]) <= 0)
         return inside if name == "between" else ~inside
     if name in ("length", "max", "min"):
-        n = F.length(v)
+        n = F.size(F.col(field)) if isinstance(kind, (T.ArrayType, T.MapType)) else F.length(v)
+        bounds = [whole(a) for a in args]
         if name == "length":
-            return (n == int(args[0])) if len(args) == 1 else n.between(int(args[0]), int(args[1]))
-        return n <= int(args[0]) if name == "max" else n >= int(args[0])
+            return (n == bounds[0]) if len(args) == 1 else n.between(bounds[0], bounds[1])
+        return n <= bounds[0] if name == "max" else n >= bounds[0]
     if name == "dateFormat":
         from .scalars import date_pattern
 
@@ -114,21 +123,27 @@ def check(field: str, name: str, args: list[str], now: Column | None = None) ->
     if name == "ip":
         return v.rlike(PATTERNS["ipv6" if args == ["ipv6"] else "ipv4"])
     if name in ("allowIp", "denyIp"):
-        return v.isin(*args) if name == "allowIp" else ~v.isin(*args)
+        listed = v.isin(*(a.strip() for a in args))
+        return listed if name == "allowIp" else ~listed
     if name == "regex":
         return v.rlike(args[0])
     if name in CALLBACKS:
         return CALLBACKS[name](F.col(field))
-    return is_kind(v, args[0] if name == "is" else name)
+    asked = args[0] if name == "is" else name
+    if isinstance(kind, T.BooleanType) and asked in ("boolean", "bool"):
+        return F.col(field).isNotNull()
+    if isinstance(kind, T.ArrayType) and asked == "array":
+        return F.col(field).isNotNull()
+    return is_kind(v, asked)
 
 
-def field_failure(field: str, rules: str) -> Column:
+def field_failure(field: str, rules: str, kind: T.DataType | None = None) -> Column:
     """The name of the first rule that the field fails, or null. Absent and empty values only meet must and require rules."""
     v = F.col(field).cast("string")
     absent = v.isNull() | (v == "")
     out = F.lit(None).cast("string")
     for name, args in reversed(parse_rules(rules)):
-        ok = F.coalesce(check(field, name, args), F.lit(False))
+        ok = F.coalesce(check(field, name, args, kind=kind), F.lit(False))
         if not (name == "must" or name.startswith("require")):
             ok = ok | absent
         out = F.when(~ok, F.lit(name)).otherwise(out)
@@ -138,7 +153,8 @@ def field_failure(field: str, rules: str) -> Column:
 def failures(df: DataFrame, rules: dict[str, str], scene: list[str] | None = None, batch: bool = True) -> Column:
     """array<string> of field:rule, one for each field that fails; only the first one unless batch. scene: the fields to check."""
     checked = [(f, r) for f, r in rules.items() if scene is None or f in scene]
-    each = [F.concat(F.lit(f"{f}:"), field_failure(f, r)) for f, r in checked]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    each = [F.concat(F.lit(f"{f}:"), field_failure(f, r, kinds.get(f))) for f, r in checked]
     found = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
     return found if batch else F.slice(found, 1, 1)
 

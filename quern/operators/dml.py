@@ -113,3 +113,26 @@ def allowed(df: DataFrame, old: str, new: str, transitions: dict[str, list[str]]
 
 def next_batch(history: DataFrame) -> DataFrame:
     return history.agg((F.coalesce(F.max("batch"), F.lit(0)) + 1).alias("batch"))
+
+
+class History:
+    """The migrations that have run: name and batch. Each change gives a new one."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("name", "batch")
+
+    def ran(self, names: DataFrame) -> History:
+        """With the names that are not in it yet, as the next batch."""
+        new = names.select("name").distinct().join(self.rows, "name", "left_anti")
+        return History(self.rows.unionByName(new.crossJoin(F.broadcast(next_batch(self.rows)))))
+
+    def rolled_back(self) -> History:
+        """Without the last batch."""
+        last = self.rows.agg(F.max("batch").alias("_last"))
+        return History(self.rows.join(F.broadcast(last), F.col("batch") == F.col("_last"), "left_anti"))
+
+    def listed(self) -> DataFrame:
+        return self.rows.orderBy("batch", "name")
+
+    def exists(self, name: str) -> bool:
+        return not self.rows.filter(F.col("name") == name).isEmpty()

@@ -103,6 +103,29 @@ def upsert(vectors: DataFrame, new: DataFrame, keys: list[str], order: str) -> D
     return both.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").select(*vectors.columns)
 
 
+def removed(vectors: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Without the vectors of the keys; those it doesn't have are no error."""
+    return vectors.join(gone.select(*keys).distinct(), keys, "left_anti").select(*vectors.columns)
+
+
+def retrieve(docs: DataFrame, key: str, text: str, words: str, vectors: DataFrame, column: str, query: list[float], k: int, budget: int, tenant: tuple[str, object] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Context, citations and warnings of one question: vector and keyword search within the tenant, fused, re-ranked, cut to the budget.
+
+    vectors has the documents' key and, with a tenant, its column. Only the k best of either search are joined to texts.
+    """
+    if tenant is not None:
+        docs = docs.filter(F.col(tenant[0]) == F.lit(tenant[1]))
+    near = ranked(vector_top(vectors, key, column, query, k, tenant=tenant), key, k)
+    hits = fuse(near, ranked(bm25(docs, key, text, words, k), key, k), key, k)
+    hits = docs.select(key, text).join(F.broadcast(hits), key)
+    best, warnings = rerank_or_keep(hits, rerank(hits, key, "score", text, k).join(hits.select(key, text), key))
+    order = [F.desc("score"), F.asc(key)]
+    kept = within_budget(best, order, text, budget)
+    if kept.count() < best.count():
+        warnings = [*warnings, "truncated"]
+    return assemble(best, order, text, budget), citations(kept, order, key, text), warnings
+
+
 def ranked(hits: DataFrame, key: str, k: int) -> DataFrame:
     """The best k with rank from 1. hits holds at most k rows, so the single window is small."""
     best = hits.orderBy(F.desc("score"), key).limit(k)
@@ -193,10 +216,17 @@ def pseudo_embedding(text: Column, size: int) -> Column:
 
 
 def batches(df: DataFrame, order: str, n: int) -> DataFrame:
-    """df with batch: n rows each; none at all for n of 0."""
-    if n <= 0:
-        return df.limit(0).withColumn("batch", F.lit(0))
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / n))
+    """df with batch: rows in order, n at a time, from 0. order: a numeric column without ties.
+
+    Ranges of it are numbered by themselves and what earlier ranges hold is added, so no task sorts the table.
+    """
+    bounds = df.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.005)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    parts = df.withColumn("_part", part)
+    ahead = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = ahead.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_ahead")
+    return parts.join(F.broadcast(ahead), "_part").withColumn("batch", F.floor(nth / n).cast("long")).select(*df.columns, "batch")
 
 
 def recall(found: DataFrame, relevant: DataFrame, key: str) -> DataFrame:

@@ -83,9 +83,17 @@ def excluded(field: str, names: list) -> Column:
     return ~F.col(field).isin(*names) if names else F.lit(True)
 
 
-def sampled(df: DataFrame, always: Column, rate: float, seed: int = 7) -> DataFrame:
-    """Rows that always stay, and others with the probability rate (none at 0 or less, all at 1 or more)."""
-    return df if rate >= 1 else df.filter(always if rate <= 0 else always | (F.rand(seed) < rate))
+def sampled(df: DataFrame, always: Column, rate: float, key: str) -> DataFrame:
+    """Rows that always stay, and a share rate of the others by a hash of their key (none at 0 or less, all at 1 or more), the same ones whatever the partitions."""
+    if rate >= 1:
+        return df
+    chosen = F.md5(F.col(key).cast("string")) < F.lit(f"{round(rate * 2**32):08x}")
+    return df.filter(always if rate <= 0 else always | chosen)
+
+
+def member_with_status(members: str, wanted, status: str, value) -> Column:
+    """Whether the array holds the wanted member and the row has the status; false where either is null."""
+    return F.coalesce(F.array_contains(F.col(members), wanted) & (F.col(status) == value), F.lit(False))
 
 
 def event_class(status: Column) -> Column:

@@ -48,7 +48,8 @@ def tenant_scope(spark, d):
 @query("""SELECT 'alive' AS scope, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'trashed', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'all', count(*) FROM orders""")
 def soft_delete_scopes(spark, d):
     rows = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
-    one = rows.agg(F.count_if(F.col("deleted_at").isNull()).alias("alive"), F.count_if(F.col("deleted_at").isNotNull()).alias("trashed"), F.count(F.lit(1)).alias("all"))
+    deleted = scope.is_deleted(F.col("deleted_at"))
+    one = rows.agg(F.count_if(~deleted).alias("alive"), F.count_if(deleted).alias("trashed"), F.count(F.lit(1)).alias("all"))
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("scope"), F.col(n).alias("n")) for n in one.columns))).alias("r")).select("r.*")
 
 
@@ -239,10 +240,11 @@ def group_membership_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query()
+@query("""SELECT event_id, status, CASE status WHEN 401 THEN 'AuthFailure' WHEN 403 THEN 'AccessDenied' ELSE 'HttpRequest' END AS class FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 403 WHEN 'signup' THEN 401 ELSE 200 END AS status FROM events)
+WHERE status IN (401, 403, 413) OR md5(CAST(event_id AS VARCHAR)) < '1999999a'""")
 def sampled_audit(spark, d):
     rows = table(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "error", 403).when(F.col("event_type") == "signup", 401).otherwise(200))
-    return predicates.sampled(rows, F.col("status").isin(401, 403, 413), 0.1).select("event_id", "status", predicates.event_class(F.col("status")).alias("class"))
+    return predicates.sampled(rows, F.col("status").isin(401, 403, 413), 0.1, "event_id").select("event_id", "status", predicates.event_class(F.col("status")).alias("class"))
 
 
 @query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey")
@@ -509,12 +511,12 @@ def gauge_values(spark, d):
     return registry.counters(rows, ["event_type"], "kind", "value", "event_id").withColumn("value", F.round("value", 2))
 
 
-@query("SELECT event_id, map_extract_value(MAP {'k': '1', 'id': event_type}, 'id') AS id, CAST(value AS VARCHAR) AS value FROM events WHERE event_id < 100")
+@query("SELECT event_id, map_extract_value(MAP {'k': '1', 'id': event_type}, 'id') AS id, CAST(value AS VARCHAR) AS value FROM events")
 def merged_context(spark, d):
     context = F.create_map(F.lit("k"), F.lit("1"), F.lit("id"), F.col("event_type"))
     extra = F.create_map(F.lit("id"), F.lit("forged"), F.lit("value"), F.col("value").cast("string"))
     merged = registry.merged_context(context, extra, ["id"])
-    return table(spark, d, "events").filter("event_id < 100").select("event_id", merged["id"].alias("id"), merged["value"].alias("value"))
+    return table(spark, d, "events").select("event_id", merged["id"].alias("id"), merged["value"].alias("value"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT user_id, event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000)) WHERE n = 1")
@@ -581,12 +583,11 @@ def reconciliation_check(spark, d):
     return out.select("n_nationkey", "outcome", F.array_join("free", ",").alias("free"))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS g, s_suppkey AS a, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
-b AS (SELECT c_nationkey AS g, c_custkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey < 110) SELECT a.g AS g, a, b FROM a JOIN b ON a.g = b.g AND a.r = b.r AND a.n = b.n""")
+@query("""WITH a AS (SELECT o_custkey AS g, o_orderkey AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus = 'O'),
+b AS (SELECT o_custkey AS g, o_orderkey AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus = 'F') SELECT a.g AS g, a, b FROM a JOIN b ON a.g = b.g AND a.r = b.r AND a.n = b.n""")
 def leftover_pairs(spark, d):
-    left = table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("a"))
-    right = table(spark, d, "customer").filter("c_custkey < 110").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("b"))
-    return reconcile.pair_up(left, right, ["g"], "a", "b").select("g", "a", "b")
+    side = lambda status, name: table(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias(name))
+    return reconcile.pair_up(side("O", "a"), side("F", "b"), ["g"], "a", "b").select("g", "a", "b")
 
 
 @query("SELECT (SELECT count(*) FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)) / (SELECT count(*) FROM labels WHERE quality = 1) AS recall")
@@ -600,9 +601,9 @@ def embedding_batches(spark, d):
     return retrieval.batches(table(spark, d, "part").select("p_partkey"), "p_partkey", 64)
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'error' END AS e FROM nation WHERE n_nationkey IN (0, 1, 2, 3)")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 < 3 THEN 'error' END AS e FROM nation")
 def expired_events(spark, d):
-    rows = table(spark, d, "nation").filter("n_nationkey < 4").select("n_nationkey", (3 - F.col("n_nationkey")).alias("retry_count"))
+    rows = table(spark, d, "nation").select("n_nationkey", (3 - F.col("n_nationkey") % 4).alias("retry_count"))
     return rows.join(ev.exhausted(rows, most=1).select("n_nationkey", F.lit("error").alias("e")), "n_nationkey", "left").select("n_nationkey", "e")
 
 
@@ -611,3 +612,6 @@ def mask_nested(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("private"), F.col("c_mktsegment").alias("segment")).alias("r"))
     hidden = rows.select("c_custkey", scalars.masked_deep(F.col("r"), rows.schema["r"].dataType, {"private"}).alias("r"))
     return hidden.select("c_custkey", "r.private.name", "r.private.nation", "r.segment")
+
+
+from . import row_queries  # noqa: E402, F401  registers more of them

@@ -112,20 +112,38 @@ def message_stream(spark: SparkSession, path: str, schema: str, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+#: A literal, a quoted name, a comment to the end of its line, the end of a statement, or anything else.
+SQL_PART = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|;|[^'"`;-]+|.""", re.S)
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a script without its comments; a semicolon in a literal or a quoted name ends none."""
+    out = [""]
+    for part in SQL_PART.findall(text):
+        if part == ";":
+            out.append("")
+        elif not part.startswith("--"):
+            out[-1] += part
+    return [s for s in map(str.strip, out) if s]
+
+
 def run_script(spark: SparkSession, text: str) -> int:
     """Runs the statements of a seed or migration file; the number of them."""
-    statements = [s.strip() for s in re.split(r";\s*(?:\n|$)", re.sub(r"(?m)^\s*--.*$", "", text)) if s.strip()]
-    for s in statements:
+    found = statements(text)
+    for s in found:
         spark.sql(s)
-    return len(statements)
+    return len(found)
 
 
-def write_sheet(df: DataFrame, path: str, sheet: str = "Sheet1", start: str = "A1") -> None:
-    """Typed cells from a start cell on, the header first; needs openpyxl. One file is written by the driver, so for exports of a page's size."""
+def write_sheet(df: DataFrame, path: str, sheet: str = "Sheet1", start: str = "A1", most: int = 100_000) -> None:
+    """Typed cells from a start cell on, the header first; needs openpyxl. One file is written by the driver, so more than most rows are an error."""
     if importlib.util.find_spec("openpyxl") is None:
         raise RuntimeError("writing spreadsheets needs openpyxl")
     row, column = cell_place(start)
-    df.toPandas().to_excel(path, sheet_name=sheet, startrow=row, startcol=column, index=False)
+    frame = df.limit(most + 1).toPandas()
+    if len(frame) > most:
+        raise ValueError(f"more than {most} rows are too many for a sheet")
+    frame.to_excel(path, sheet_name=sheet, startrow=row, startcol=column, index=False)
 
 
 def replace_json(df: DataFrame, path: str) -> None:

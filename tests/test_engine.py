@@ -48,7 +48,7 @@ def test_predicates(spark):
     assert predicates.optional("x", "eq", " ") == [] == predicates.optional("x", "eq", None)
     tags = rows(spark, [(1, ["a", "b"]), (2, ["a"])], "id long, tags array<string>")
     assert values(tags.filter(predicates.has_all("tags", ["a", "b"])), "id") == [1]
-    assert predicates.sampled(df, F.lit(False), 0).count() == 0 and predicates.sampled(df, F.lit(False), 1).count() == 4
+    assert predicates.sampled(df, F.lit(False), 0, df.columns[0]).count() == 0 and predicates.sampled(df, F.lit(False), 1, df.columns[0]).count() == 4
 
 
 def test_paging(spark):
