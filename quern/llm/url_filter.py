@@ -141,15 +141,17 @@ def weak_labels(urls: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """first: the score without trees; shares: of blocks for each suffix, drawn to the overall share."""
+    """first: the score without trees; shares: of blocks for each suffix."""
 
     first: float
     trees: list
     shares: dict[str, dict[str, float]]
-    overall: float
 
 
 def share(counts: list[tuple[float, int]], overall: float) -> float:
+    """The share of blocks, drawn to the overall one; 0 without any count, as nothing is known against such a suffix."""
+    if not any(n for _, n in counts):
+        return 0.0
     return (sum(b for b, _ in counts) + PRIOR * overall) / (sum(n for _, n in counts) + PRIOR)
 
 
@@ -174,7 +176,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         columns.append([share([c for k, c in enumerate(seen[r[name]]) if k != r["_fold"]], overall) for r in rows])
         shares[name] = {s: share(counts, overall) for s, counts in seen.items()}
     first, trees = boost(np.array(columns, float).T.reshape(len(rows), len(columns)), y)
-    return Model(first, trees, shares, overall)
+    return Model(first, trees, shares)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -204,7 +206,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     for name, shares in model.shares.items():
         found = literal_table(spark, [{f"_f_{name}": s, f"_share{name}": v} for s, v in shares.items()], f"`_f_{name}` string, `_share{name}` double")
         rows = rows.join(F.broadcast(found), f"_f_{name}", "left")
-    columns = [*(F.col(f"_f_{n}") for n in NUMBERS), *(F.coalesce(F.col(f"_share{n}"), F.lit(model.overall)) for n in model.shares)]
+    columns = [*(F.col(f"_f_{n}") for n in NUMBERS), *(F.coalesce(F.col(f"_share{n}"), F.lit(0.0)) for n in model.shares)]
     score = sum((expression(t, columns) for t in model.trees), F.lit(model.first))
     judged = F.coalesce("_ruled", F.when(F.col("_score") > 0, "block").otherwise("allow"))
     return rows.withColumn("_score", score).select("page_id", "host", "path", "rule", judged.alias("verdict"), (1 / (1 + F.exp(-F.col("_score")))).alias("block_score"), "held_out")

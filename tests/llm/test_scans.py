@@ -86,7 +86,7 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-def plain_features(url, shares, overall):
+def plain_features(url, shares, overall=0.0):
     rest = url.split("://", 1)[1] if "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
     path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.lower()
@@ -114,7 +114,7 @@ def test_trees_are_the_plain_ones(spark):
 
     urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
     for r in got:
-        x = plain_features(urls[r.page_id], model.shares, model.overall)
+        x = plain_features(urls[r.page_id], model.shares)
         score = model.first + sum(plain(t, x) for t in model.trees)
         assert abs(r.block_score - 1 / (1 + math.exp(-score))) < 1e-9
         assert r.held_out == (zlib.crc32(urls[r.page_id].encode()) % 5 == 0) and (r.rule or r.verdict == ("block" if score > 0 else "allow"))
@@ -131,7 +131,7 @@ def test_suffixes_out_of_fold(spark):
     """A suffix that only one URL has tells nothing of its own label."""
     rows = [(f"http://h{k}.s{k}/{k % 7}", k % 2) for k in range(400)]
     model = url_filter.fit(spark.createDataFrame(rows, "url string, label int"))
-    scores = [model.first + sum(url_filter.apply(t, np.array([plain_features(u, model.shares, model.overall)]))[0] for t in model.trees) for u, _ in rows]
+    scores = [model.first + sum(url_filter.apply(t, np.array([plain_features(u, model.shares)]))[0] for t in model.trees) for u, _ in rows]
     assert len(model.shares["_suffix1"]) > 200 and np.ptp(scores) < 3
     few = url_filter.fit(spark.createDataFrame(rows, "url string, label int"), sample=50)
     assert len(few.shares["_suffix1"]) == 50
