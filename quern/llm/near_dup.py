@@ -168,9 +168,13 @@ def components(links: DataFrame, held: int = HELD, trace: list | None = None) ->
 
     Large-star and small-star steps alternate: all neighbours above an id are linked to the least one around it, then all
     below it are; the number of rounds grows with the logarithm of the longest way, whatever the order of ids. Before that
-    each task merges what it holds. Every round is written to the checkpoint folder; trace takes in the links of each.
+    each task merges what it holds. Links are counted and gathered in as many tasks as held goes into them, whatever the
+    session shuffles to, so that few links settle at once. Every round is written to the checkpoint folder; trace takes
+    in the links of each.
     """
-    edges = cut(merged(links.filter("_a != _b").select("_a", "_b").distinct(), held))
+    links = cut(links.filter("_a != _b").select("_a", "_b").distinct())
+    tasks = max(1, math.ceil(links.count() / held))
+    edges = cut(merged(links.coalesce(tasks), held))
     while True:
         ends = edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_up"), F.lit(False).alias("_down")).union(edges.select("_a", F.lit(None), F.lit(True)))
         if trace is not None:
@@ -182,7 +186,7 @@ def components(links: DataFrame, held: int = HELD, trace: list | None = None) ->
         large = cut(join_checked(edges, least, "_a", "left", BROADCAST).select(F.coalesce("_least", "_a").alias("_a"), "_b"))
         least = cut(large.groupBy("_b").agg(F.min("_a").alias("_least")))
         below = large.join(least, "_b").filter("_a != _least").select(F.col("_least").alias("_a"), F.col("_a").alias("_b"))
-        edges = cut(merged(below.union(least.select("_least", "_b")).distinct(), held))
+        edges = cut(merged(cut(below.union(least.select("_least", "_b")).distinct()).coalesce(tasks), held))
 
 
 def posted(classes: DataFrame, matches: int) -> DataFrame:
