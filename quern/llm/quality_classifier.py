@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, take_over
+from .common import Memo, cut, take_over
 
 SLICE = 512
+#: Rows of features that the driver fetches at once.
+FETCHED = 1000
 #: Features are hashed to 2 ** BITS weights.
 BITS = 18
 #: The parameter sample: at most so many labelled documents are learnt from, those of the smallest hashes; and so many times over.
@@ -85,8 +87,8 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learns from labelled documents outside of the held-out fold.
 
-    At most sample documents are taken, by a hash of their ids, and turned to features on the executors; the driver gets
-    these part by part and keeps them packed. Of a document with several labels the smallest counts; labels other than 0 and 1 and those without a document
+    At most sample documents are taken, by a hash of their ids, and turned to features on the executors, all at once into
+    the checkpoint folder; the driver gets these FETCHED rows at a time and keeps them packed. Of a document with several labels the smallest counts; labels other than 0 and 1 and those without a document
     do not. Without any, all weights are 0.
     """
     chosen = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
@@ -100,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], names=schema.names)
 
-    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema).toLocalIterator()
+    rows = found.select(F.col("doc_id").cast("string").alias("id"), "text", "_label").mapInArrow(make, schema)
+    rows = cut(rows).coalesce(max(1, math.ceil(sample / FETCHED))).toLocalIterator()
     packed = sorted((zlib.crc32(f"order {r.id}".encode()), r.id, bytes(r["at"]), bytes(r["values"]), r["label"]) for r in rows)
     return train([(np.frombuffer(at, "<i4"), np.frombuffer(values, "<f4"), label) for _, _, at, values, label in packed])
 
