@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,3 +453,20 @@ def test_pipeline_run(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert rows(got) == rows(left) and got.columns == left.columns
     assert not glob.glob(f"{folder.removeprefix('file:')}/pipeline-*")
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_alone_sends_few_rows(spark, name):
+    """A stage called without run() sends ARROW_ROWS whole texts to Python at once, not a whole partition; a number that the session has chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def most(chosen: str | None) -> int:
+        own = spark.newSession()
+        if chosen:
+            own.conf.set(key, chosen)
+        dict(corpus_pipeline.STAGES)[name](own, own.read.parquet(f"{FOLDER}/documents.parquet").limit(0), FOLDER)
+        sizes = own.range(0, 2500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        return max(r.n for r in sizes.collect())
+
+    assert most(None) == common.ARROW_ROWS
+    assert most("2000") == 2000
