@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,13 +109,25 @@ def keep(owner: str, clear: Callable[[], None]) -> None:
     _kept.append((owner, clear))
 
 
+#: Of the C library, where it has that.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep for later of the memory that is free."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def take_over(owner: str) -> None:
-    """Before an operator works in a Python worker: lets go of what others keep there, as workers serve all of them in turn."""
+    """Before an operator works in a Python worker: lets go of what others keep there, as workers serve all of them in turn, and of free memory."""
     if _owner != [owner]:
         _owner[:] = [owner]
         for other, clear in _kept:
             if other != owner:
                 clear()
+    give_back()
 
 
 class Memo(dict):

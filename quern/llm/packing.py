@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prefix_sums, spread, take_over
+from .common import cut, give_back, prefix_sums, spread, take_over
 from .vocabulary import default_path, encoder
 
 SLICE = 512
@@ -34,6 +34,7 @@ def pieces(docs: DataFrame, limit: int, path: str, end: int = 0, text: str = "te
                         part = ids[at : at + step]
                         row.append(k), piece.append(n), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=schema.names)
+            give_back()
 
     return docs.select("doc_id", text).mapInArrow(encode, schema)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,20 @@ def test_memo_is_bounded_and_given_up():
     assert not memo
 
 
+def test_free_memory_goes_back():
+    """A worker that takes over doesn't carry what is free, even below memory in use."""
+
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    blocks = [bytes(1000) for _ in range(200_000)]
+    full, last = held(), blocks[-1]
+    del blocks
+    common.take_over("three")
+    assert len(last) == 1000 and held() < full - 100
+
+
 def test_prefix_sums(spark):
     rng = random.Random(9)
     rows = [(k, rng.choice("aaab"), rng.randrange(5), rng.randrange(10)) for k in range(500)]
