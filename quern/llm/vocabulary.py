@@ -7,10 +7,13 @@ import heapq
 import itertools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -55,15 +58,20 @@ class Words:
     def has_special(self, text: str) -> bool:
         return "<|" in text and self.special.search(text) is not None
 
-    def chunks(self, text: str) -> list[str]:
-        """Normalised (NFC, lower case letter by letter) chunks between white space."""
+    def normal(self, text: str) -> str:
+        """The text normalised (NFC, lower case letter by letter), with no other white space than ASCII's."""
         if not text.isascii():
             if UNSURE.search(text):
-                return [c for c in SPLIT.split(self.library.normalizer.normalize_str(text)) if c]
+                return SPLIT.sub(" ", self.library.normalizer.normalize_str(text))
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("\u03a3", "\u03c3")  # lower() has a rule for a sigma that ends a word
-        text = text.lower()
+            text = text.replace("\x85", " ").replace("\xa0", " ")  # all others are unsure
+        return text.lower()
+
+    def chunks(self, text: str) -> list[str]:
+        """Normalised chunks between white space."""
+        text = self.normal(text)
         if any(c in text for c in SEPARATORS):
             return [c for c in SPLIT.split(text) if c]
         return text.split()
@@ -133,62 +141,97 @@ class Counter(Words):
 
 
 class Encoder(Words):
-    """Token ids by the library, as little-endian unsigned 32-bit bytes; each distinct pre-token is encoded once.
+    """Token ids by the library, as little-endian unsigned 32-bit bytes.
 
-    At most twice so many chunks and so many pre-tokens are kept: of chunks, the older half goes when the newer is full.
+    Texts go some at a time, until these have so many characters: each distinct chunk of theirs is split once, and
+    pre-tokens that are not kept are encoded in bulk. About twice so many pre-tokens are kept: the older half goes
+    when the newer is full.
     """
 
-    def __init__(self, path: str, chunks: int = 250_000, pretokens: int = 600_000):
+    def __init__(self, path: str, pretokens: int = 400_000, characters: int = 2**22):
         super().__init__(path)
-        self.most = chunks, pretokens
+        self.most, self.characters = pretokens, characters
         #: The library's model alone, for pre-tokens that are normalised already.
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         for token, k in self.library.get_vocab().items():
             self.ends[k] = token.endswith(self.end)
-        self.of_pretoken: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: For many chunks at once, a line feed after each: in any letters, and in ASCII.
+        self.lines = regex.compile(self.pretoken.pattern + r"|\n")
+        self.ascii_lines = re.compile(self.pretoken.pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9") + r"|\n")
+        self.between = self.translated | {ord(c): c for c in " \n"}
+        self.forget()
         keep("tokens", self.forget)
 
     def forget(self) -> None:
-        self.of_pretoken, self.of_chunk, self.older = {}, {}, {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks that are new, all at once."""
-        new = [c for c in chunks if c not in self.of_chunk]
-        if len(self.of_chunk) + len(new) > self.most[0]:
-            self.older, self.of_chunk = self.of_chunk, {}
-            new = list(chunks)
-        old = self.older.get
-        self.of_chunk.update((c, b) for c in new if (b := old(c)) is not None)
-        new = [c for c in new if c not in self.of_chunk]
-        split = [self.pretokens(c) for c in new]
-        lacking = [p for p in {p for ps in split for p in ps} if p not in self.of_pretoken]
-        if len(self.of_pretoken) + len(lacking) > self.most[1]:
-            self.of_pretoken.clear()
-            lacking = list({p for ps in split for p in ps})
-        for k in range(0, len(lacking), 4096):
-            some = lacking[k : k + 4096]
+        self.of_pretoken, self.older = {"\n": b""}, {}
+
+    def split(self, chunks: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all chunks, a line feed after each chunk's, and which place each chunk has among these."""
+        plain = pc.and_(pc.string_is_ascii(chunks), pc.ascii_is_printable(chunks)).to_numpy(zero_copy_only=False)
+        found, kind = chunks.to_numpy(zero_copy_only=False), np.where(plain, 0, 1)
+        if UNSURE.search("".join(found[~plain])):
+            kind[[k for k in np.flatnonzero(kind).tolist() if UNSURE.search(found[k])]] = 2
+        out = self.ascii_lines.findall("\n".join([*found[kind == 0], ""]))
+        if (others := found[kind == 1]).size:
+            out += " ".join(self.lines.findall("\n".join([*others, ""]))).encode().decode("latin1").translate(self.between).split(" ")
+        for chunk in found[kind == 2]:
+            out += [*self.pretokens(chunk), "\n"]
+        place = np.empty(len(kind), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(kind))
+        return out, place
+
+    def known(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of each; those of a line feed are none."""
+        found = list(map(self.of_pretoken.get, pretokens))
+        gaps = [k for k, b in enumerate(found) if b is None]
+        lacking = {pretokens[k] for k in gaps}
+        kept = {p: self.older[p] for p in lacking & self.older.keys()}
+        if len(self.of_pretoken) + len(lacking) > self.most:
+            self.older, self.of_pretoken = self.of_pretoken, {"\n": b""}
+        self.of_pretoken.update(kept)
+        new = list(lacking - kept.keys())
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             assert len(cuts) == len(some), "each pre-token ends with one word-end token"
             raw, start = ids.tobytes(), 0
             for p, stop in zip(some, (cuts * 4).tolist(), strict=True):
                 self.of_pretoken[p], start = raw[start:stop], stop
-        known = self.of_pretoken.__getitem__
-        for c, ps in zip(new, split, strict=True):
-            self.of_chunk[c] = b"".join(map(known, ps))
+        for k in gaps:
+            found[k] = self.of_pretoken[pretokens[k]]
+        return found
+
+    def encode_normal(self, texts: list[str]) -> list[bytes]:
+        """The ids of normalised texts without special strings, all at once."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = words.values.dictionary_encode()
+        pretokens, place = self.split(chunks.dictionary)
+        parts = self.known(pretokens)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        offsets = np.concatenate(([0], np.cumsum(sizes)[sizes == 0]))
+        assert len(offsets) == len(place) + 1, "only the line feed after a chunk has no ids"
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
+        _, starts, raw = ids.take(pa.array(place[chunks.indices.to_numpy()])).buffers()
+        cuts = np.frombuffer(starts, np.int64)[words.offsets.to_numpy()].tolist()
+        whole = memoryview(raw or b"")
+        return [whole[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and self.has_special(t) else self.chunks(t) if t else [] for t in texts]
-        out = []
-        for k in range(0, len(texts), 64):
-            self.learn(set().union(*(s for s in split[k : k + 64] if s)))
-            known = self.of_chunk.__getitem__
-            for text, chunks in zip(texts[k : k + 64], split[k : k + 64], strict=True):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(known, chunks)))
+        out, some, size = [], [], 0
+        special = [bool(t) and self.has_special(t) for t in texts]
+        for text, apart in zip(texts, special, strict=True):
+            some.append("" if apart or not text else self.normal(text))
+            size += len(some[-1])
+            if size >= self.characters:
+                out += self.encode_normal(some)
+                some, size = [], 0
+        if some:
+            out += self.encode_normal(some)
+        for k in np.flatnonzero(special).tolist():
+            out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 

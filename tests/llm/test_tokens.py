@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -44,6 +45,30 @@ def test_every_letter():
             agrees(text)
 
 
+@pytest.mark.parametrize("bounds", [{}, {"pretokens": 7}, {"pretokens": 20, "characters": 30}, {"characters": 1}])
+def test_many_texts_at_once(bounds):
+    texts = [*HARD, None, "\x85 a\xa0\x85b \x1f", "a\x7fb\x00 don't", " \n\t ", "é é. e\u0301 ﬁ", *HARD, "日本語 the", "the end", *(f"w{k}x the" for k in range(40))]
+    encoder = Encoder(PATH, **bounds)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [ids(t or "") for t in texts]
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
+
+
+def test_words_are_encoded_in_bulk():
+    """Calls of Python functions do not grow with the number of different words."""
+    texts = [" ".join(f"{a}{b}{k % 7}{c}" for k in range(40)) for a in ("tion", "ä", "x") for b in ("ing", "é", "") for c in (".", "", "$$")]
+    texts = [f"{t} {chr(97 + k % 26)}word{k}, çà{k}" for k, t in enumerate(texts * 40)]
+    calls = []
+    encoder = Encoder(PATH)
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len({w for t in texts for w in t.split()}) > 2000
+    assert len(calls) < 2 * len(texts) + 200
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, n_tokens string")
 
