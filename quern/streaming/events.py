@@ -16,12 +16,25 @@ from ..functions.scalars import backoff_ms
 
 
 def n_plus_one(log: DataFrame, template: str, micros: str, threshold: int, window_us: int) -> DataFrame:
-    """One alert per template: the first record with threshold records in [its time, its time + window], both ends inside; the count is the whole group's."""
-    w = Window.partitionBy(template)
-    ahead = w.orderBy(micros).rangeBetween(0, window_us)
-    found = log.select(template, micros, F.count(F.lit(1)).over(ahead).alias("_n"), F.max(micros).over(ahead).alias("_last"), F.count(F.lit(1)).over(w).alias("count"))
-    hit = found.filter(F.col("_n") >= threshold)
-    return hit.groupBy(template).agg(F.min_by(F.struct("count", (F.col("_last") - F.col(micros)).alias("span_us")), micros).alias("_r")).select(template, "_r.count", "_r.span_us").orderBy(F.desc("count"), template)
+    """One alert per template: the first record with threshold records in [its time, its time + window], both ends inside; the count is the whole group's.
+
+    Time is cut into stretches as long as the window, of which the first threshold records decide: a stretch that has so
+    many is full from its first one on, and what follows a record in its window is in its stretch or the next. So no task
+    holds a template, and no window is counted through.
+    """
+    least, width = max(threshold, 1), max(window_us, 1)
+    rows = log.select(F.col(template).alias("_of"), F.col(micros).alias("_us")).withColumn("_at", F.col("_us") - F.pmod("_us", F.lit(width)))
+    stretch = Window.partitionBy("_of", "_at").orderBy("_us")
+    first = rows.withColumn("_n", F.row_number().over(stretch)).filter(F.col("_n") <= least)
+    both = first.select("_of", "_us", F.posexplode(F.array("_at", F.col("_at") - width)).alias("_ahead", "_at")).filter("_ahead = 0 OR _at IS NOT NULL")
+    ends = both.withColumns({"_end": F.lead("_us", least - 1).over(stretch), "_more": F.lead(F.lit(True), least - 1).over(stretch)})
+    # Records without a time are in each other's windows only.
+    hit = ends.filter((F.col("_ahead") == 0) & F.when(F.col("_us").isNull(), F.col("_more")).otherwise(F.col("_end") - F.col("_us") <= window_us))
+    starts = hit.groupBy(F.col("_of").alias("_t")).agg(F.min("_us").alias("_start"))
+    inside = F.when(F.col("_us") - F.col("_start") <= window_us, F.col("_us"))
+    found = rows.join(starts, F.col("_of").eqNullSafe(F.col("_t"))).groupBy("_t", "_start").agg(F.count(F.lit(1)).alias("_n"), F.max(inside).alias("_last"))
+    timed = F.col("_start").isNotNull()
+    return found.select(F.col("_t").alias(template), F.when(timed, F.col("_n")).alias("count"), (F.col("_last") - F.col("_start")).alias("span_us")).orderBy(F.desc("count"), template)
 
 
 def windowed(events: DataFrame, ts: str, failed: Column, minutes: int, name: str) -> DataFrame:

@@ -226,6 +226,26 @@ def test_repeated_queries(spark):
     assert values(ev.n_plus_one(log, "template", "ms", 5, 1000)) == [("orders", 6, 500)]
 
 
+def replica_alert(times, least, window):
+    for t in sorted({t for t in times if t is not None}):
+        inside = [x for x in times if x is not None and t <= x <= t + window]
+        if len(inside) >= least:
+            return len(times), max(inside) - t
+    return (None, None) if times.count(None) >= least else None
+
+
+def test_repeated_queries_of_a_hot_template(spark):
+    times = {"edge": [9, 12, 19, 30, 35, 40], "ties": [-7, -7, -7, 3, 4], "late": [0, 11, 22, *range(100, 900)], "dense": [*range(-300, 300), None], None: [5, 5, 16, 15, 25], "untimed": [None] * 4 + [1], "few": [1, 2, None, None]}
+    log = rows(spark, [(k, t) for k, v in times.items() for t in v], "template string, ms long").repartition(3)
+    for least, window in ((3, 10), (4, 10), (3, 0), (1, 5), (5, 21)):
+        found = ev.n_plus_one(log, "template", "ms", least, window)
+        want = {k: replica_alert(v, least, window) for k, v in times.items()}
+        assert {r.template: (r["count"], r.span_us) for r in found.collect()} == {k: v for k, v in want.items() if v}
+    # No frame is counted through for each record, and what a task sorts of a stretch of time is cut before it is shuffled.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan and "WindowGroupLimit" in plan
+
+
 def replica_limiter(times, most, window):
     kept, out = [], []
     for t in times:
