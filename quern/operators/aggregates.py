@@ -50,6 +50,17 @@ def grouped_in_order(df: DataFrame, key: list[str], order: str, value: str, out:
     return df.groupBy(*key).agg(F.transform(pairs, lambda x: x[value]).alias(out))
 
 
+def means_in_order(df: DataFrame, key: list[str], order: list[str], **means: str) -> DataFrame:
+    """Means of doubles that are summed up row by row in an order: by rounding, another order may give others. Null if there is no value.
+
+    The running mean at a key's last row; rows are sorted and not gathered, so a large key takes time and no memory.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = df.select(*key, *(F.avg(c).over(upto).alias(n) for n, c in means.items()), F.lead(F.lit(True)).over(w).alias("_more"))
+    return running.filter("_more IS NULL").drop("_more")
+
+
 def approval(status: str, completed: str = "completed", rejected: str = "rejected", pending: str = "pending") -> tuple[Column, Column]:
     """The verdicts when all must sign and when one is enough, over the rows of a group."""
     c = F.col(status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import scalars, validate
-from .operators import dml, knowledge, registry, retrieval
+from .operators import aggregates, dml, knowledge, registry, retrieval
 from .plans import predicates, scope
 from .queries import query
 from .sources import tables
@@ -211,5 +211,5 @@ def inserted_rows(spark, d):
 
 @query("SELECT l_orderkey, CASE WHEN avg(l_discount) > 0.06 THEN 1 WHEN avg(l_tax) > 0.05 THEN -1 ELSE 0 END AS step FROM lineitem GROUP BY l_orderkey")
 def scale_steps(spark, d):
-    rates = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    rates = aggregates.means_in_order(tables.placed(table(spark, d, "lineitem")), ["l_orderkey"], ["_file", "_row"], a="l_discount", b="l_tax")
     return rates.select("l_orderkey", ev.scale_step(F.when(F.col("a") > 0.06, 0.31).otherwise(0.3), F.when(F.col("b") > 0.05, 0.71).otherwise(0.7)).alias("step"))

@@ -23,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{identifier(name)}.parquet")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """A table's rows with their place, as a reader of one file after the other meets them: _file, by its path, and _row in it."""
+    return rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+
+
 def query(spark: SparkSession, text: str, **args) -> DataFrame:
     """SQL text with named parameters, which are bound and never spliced."""
     return spark.sql(text, args=args)
